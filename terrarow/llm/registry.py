@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .chat_tree import OP4_SQL, op4_chat_format
+from .quality_crf import op7_quality_crf
 from .url_filter import OP3_SQL, op3_url_filter
+from .warc import OP8_SQL, op8_warc
 
-QUERIES = {"op3_url_filter": op3_url_filter}
-ORACLES = {"op3_url_filter": OP3_SQL}
+QUERIES = {"op3_url_filter": op3_url_filter, "op4_chat_format": op4_chat_format, "op7_quality_crf": op7_quality_crf, "op8_warc": op8_warc}
+ORACLES = {"op3_url_filter": OP3_SQL, "op4_chat_format": OP4_SQL, "op8_warc": OP8_SQL}

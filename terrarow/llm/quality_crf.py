@@ -153,8 +153,6 @@ def train_field(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 15
     x = np.concatenate(rows)
     y = np.concatenate([[sequences[k][1][t] for k in range(alive[t])] for t in range(steps)]).astype(int)
     weight = np.concatenate([1.0 / np.sqrt(lengths[: alive[t]]) for t in range(steps)])
-    share = (weight @ y) / weight.sum()
-    weight = weight * np.where(y == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3))
     weight /= weight.sum()
     seen = np.zeros((2, 2))
     for t in range(1, steps):

@@ -1,15 +1,15 @@
 r"""Chat formatting over reply trees.
 
-Messages name their parent. Iterative self-joins that double the known ancestors of every message enumerate all
-root-to-leaf paths in log2(depth) rounds; branches of a tree are ranked by score and each chosen path becomes one
+Messages name their parent. Iterative self-joins over ancestors 1, 2, 4, ... steps up enumerate all root-to-leaf
+paths in 2 log2(depth) rounds; branches of a tree are ranked by score and each chosen path becomes one
 formatted conversation with a loss mask over its assistant texts.
 
 Template of a turn: <|turn|>ROLE[INST]TEXT, then </s> after an assistant and [/INST] after any other role. Control
 strings inside roles and texts get a backslash after their first character (one more where there is one already),
 so no text can end a turn and unescaping is exact.
 
-Edge cases: null role or text counts as empty; a message whose parent is null, missing or its own descendant is a
-root; equal messages are told apart by their ids, which must be unique within a tree; null tree ids form one tree;
+Edge cases: null role or text counts as empty; a message whose parent is null, missing or itself, or that lies
+on a cycle of parents, is a root; equal messages are told apart by their ids, which must be unique within a tree; null tree ids form one tree;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -58,27 +58,39 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def _jumps(parents: DataFrame, n: int) -> tuple[list[DataFrame], bool]:
+    """Tables of (tree, id, up): the ancestor 2**k steps up, of messages that have one; whether one of them never ends."""
+    tables = [stored(parents, "jumps")]
+    while tables[-1].limit(1).count():
+        if 1 << (len(tables) - 1) >= max(2, n):
+            return tables, True
+        low, high = tables[-1], tables[-1].select(F.col("tree").alias("t"), F.col("id").alias("k"), F.col("up").alias("far"))
+        tables.append(stored(low.join(high, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("k"))).select("tree", "id", F.col("far").alias("up")), "jumps"))
+    return tables[:-1], False
+
+
 def reply_paths(messages: DataFrame) -> DataFrame:
-    """tree, leaf, path: the message ids from root to leaf of every branch.
+    """tree, leaf, id, above: every message of every root-to-leaf path, above steps over the leaf.
 
-    messages: tree string, id long, parent long. Each round joins every unfinished message with the node that its
-    known ancestors end at, and so doubles them; the text of messages stays out of the rounds.
+    messages: tree string, id long, parent long. Self-joins build tables of ancestors 1, 2, 4, ... steps up, only of
+    messages that are that deep; then the steps of those tables, from the longest down, take the leaves to all their
+    ancestors, each reached once. The rows made are those of the result; texts stay out of the rounds.
     """
     nodes = messages.select("tree", "id", "parent")
-    same_tree = F.col("tree").eqNullSafe(F.col("t"))
+    same = F.col("tree").eqNullSafe(F.col("t"))
     known = nodes.select(F.col("tree").alias("t"), F.col("id").alias("k"))
-    up = nodes.join(known, same_tree & (F.col("parent") == F.col("k")), "left").select("tree", "id", F.array("id").alias("path"), F.when(F.col("k") != F.col("id"), F.col("k")).alias("next"))
-    up = stored(up, "paths")
-    while up.where("next IS NOT NULL").limit(1).count():
-        far = up.select(F.col("tree").alias("t"), F.col("id").alias("k"), F.col("path").alias("p"), F.col("next").alias("n"))
-        up = up.join(far, same_tree & (F.col("next") == F.col("k")), "left")
-        path = F.when(F.col("k").isNull(), F.col("path")).otherwise(F.concat("path", "p"))
-        cut = F.size(F.array_distinct(path)) < F.size(path)  # a cycle: stop before the first repeated message
-        up = up.select("tree", "id", F.array_distinct(path).alias("path"), F.when(~cut & ~F.array_contains(path, F.col("n")), F.col("n")).alias("next"))
-        up = stored(up, "paths")
-    parents = nodes.where("parent IS NOT NULL AND parent != id").select(F.col("tree").alias("t"), F.col("parent").alias("k")).distinct()
-    leaves = up.join(parents, same_tree & (F.col("id") == F.col("k")), "left_anti")
-    return leaves.select("tree", F.col("id").alias("leaf"), F.reverse("path").alias("path"))
+    parents = nodes.where("parent IS NOT NULL AND parent != id").join(known, same & (F.col("parent") == F.col("k"))).select("tree", "id", F.col("parent").alias("up"))
+    n = nodes.count()
+    tables, endless = _jumps(parents, n)
+    if endless:  # far jumps end on the cycles: their messages become roots
+        cycles = stored(tables[-1].select(F.col("tree").alias("t"), F.col("up").alias("k")).distinct(), "cycles")
+        tables, _ = _jumps(parents.join(cycles, same & (F.col("id") == F.col("k")), "left_anti"), n)
+    above = parents.select(F.col("tree").alias("t"), F.col("up").alias("k")).distinct() if not tables else tables[0].select(F.col("tree").alias("t"), F.col("up").alias("k")).distinct()
+    rows = nodes.join(above, same & (F.col("id") == F.col("k")), "left_anti").select("tree", F.col("id").alias("leaf"), "id", F.lit(0).alias("above"))
+    for k in reversed(range(len(tables))):
+        far = tables[k].select(F.col("tree").alias("t"), F.col("id").alias("k"), "up")
+        rows = stored(rows.join(far, same & (F.col("id") == F.col("k")), "left").select("tree", "leaf", "above", F.explode(F.array_compact(F.array(F.struct(F.col("id"), F.lit(0).alias("more")), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("id"), F.lit(1 << k).alias("more")))))).alias("x")).select("tree", "leaf", F.col("x.id").alias("id"), (F.col("above") + F.col("x.more")).alias("above")), "paths")
+    return rows
 
 
 def format_trees(messages: DataFrame, top: int | None = None) -> DataFrame:
@@ -87,7 +99,7 @@ def format_trees(messages: DataFrame, top: int | None = None) -> DataFrame:
     messages: tree string, id long, parent long, role, text, score double (null: 0). A branch's score is the sum of
     its messages' scores; ties go to the smaller leaf id. top keeps that many branches of a tree, None all.
     """
-    steps = reply_paths(messages).select("tree", "leaf", F.posexplode("path").alias("depth", "id"))
+    steps = reply_paths(messages).select("tree", "leaf", "id", (-F.col("above")).alias("depth"))
     texts = messages.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("s"))
     rows = steps.join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i"))).groupBy("tree", "leaf").agg(F.sum("s").alias("score"), F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
     if top is not None:

@@ -12,8 +12,10 @@ sequence; extra columns are ignored. A document of any length spans as many sequ
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +27,34 @@ from .textual import as_bytes, word_hashes
 
 DIMS, ORDER = 64, 16
 SEQ_LEN, END_ID = 2048, 1
-#: Chunks whose ids a worker remembers, at most; then it starts afresh.
-MAX_CACHE = 400_000
+#: Chunks that one of a worker's two generations of remembered ids holds, at most.
+MAX_CACHE = 600_000
 #: Token bytes that one packing task takes, about.
 TASK_BYTES = 48 << 20
 
 _tokenizers: dict = {}
 
 
+#: Letters below this are lower-cased one by one and composed already.
+_LATIN_END = "\u0250"
+
+
+def _byte_chars() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level merges: printable ones for themselves, others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_BYTE_CHARS = _byte_chars()
+_TAIL = ".,;:!?*$&%#|"
+
+
 class ChunkTokenizer:
     """Token ids of a text as packed bytes, from remembered ids of its chunks between ASCII white space.
 
-    Right for tokenizers that drop white space and never join across it; ids are two bytes where they fit, else four.
+    Right for tokenizers that drop white space, never join across it, and part letters and digits from other
+    characters: a chunk's ending of plain punctuation is looked up apart from its word. Ids are two bytes where they
+    fit, else four. A full generation becomes the old one; chunks met again move to the new one, so frequent ones stay.
     """
 
     def __init__(self, path: str):
@@ -44,8 +62,35 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 65536 else "<u4")
+        self.code = "H" if self.model.get_vocab_size() <= 65536 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.lowers = False
         self.known: dict[str, bytes] = {"": b""}
+        pipeline = json.loads(self.model.to_str())
+        kinds = lambda part, key: [x["type"] for x in (pipeline[part] or {}).get(key, ())]
+        self.lowers = kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"] and pipeline["model"]["type"] == "BPE"
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, chunks: list[str]) -> None:
+        rest = chunks
+        if self.lowers:  # plain words need only lower case and the merges
+            bpe, rest = self.model.model.tokenize, []
+            for c in chunks:
+                if c.isalpha() and max(c) < _LATIN_END and "\u0130" not in c:
+                    word = c.lower()
+                    mapped = word if word.isascii() else word.encode().decode("latin1").translate(_BYTE_CHARS)
+                    self.known[c] = array(self.code, [t.id for t in bpe(mapped)]).tobytes()
+                else:
+                    rest.append(c)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for c, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[c] = array(self.code, e.ids).tobytes()
+
+    def _parts(self, chunk: str) -> tuple[str, str]:
+        """A word and its ending; all in the first where they can't be told apart safely."""
+        word = chunk.rstrip(_TAIL)
+        return (word, chunk[len(word) :]) if word and word[-1].isalnum() and "'" not in word and "<" not in word else (chunk, "")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         rows = []
@@ -55,13 +100,24 @@ class ChunkTokenizer:
                     t = t.replace(c, " ")
             rows.append(t.split(" "))
         if len(self.known) > MAX_CACHE:
-            self.known = {"": b""}
-        known = self.known
-        new = list({c for r in rows for c in r if c not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                known[c] = np.array(e.ids, self.dtype).tobytes()
+            self.known, self.old = {"": b""}, self.known
+        known, old = self.known, self.old
+        new = set()
+        for r in rows:
+            new.update(r)
+        new.difference_update(known)
+        for c in [c for c in new if c in old]:
+            known[c] = old[c]
+            new.discard(c)
+        split = {c: self._parts(c) for c in new}
+        words = {w for pair in split.values() for w in pair}.difference(known)
+        for w in [w for w in words if w in old]:
+            known[w] = old[w]
+            words.discard(w)
+        self._learn(list(words))
+        for c, (w, tail) in split.items():
+            if tail:
+                known[c] = known[w] + known[tail]
         return [b"".join(map(known.__getitem__, r)) for r in rows]
 
 

@@ -8,9 +8,10 @@ from .hilbert_pack import op1_hilbert_pack
 from .near_dedup import op6_near_dedup
 from .quality_crf import op7_quality_crf
 from .secret_cnn import op9_secret_cnn
+from .suffix_dedup import op10_suffix_dedup
 from .toxicity_fst import op2_toxicity_fst
 from .url_filter import OP3_SQL, op3_url_filter
 from .warc import OP8_SQL, op8_warc
 
-QUERIES = {"op6_near_dedup": op6_near_dedup, "op5_decontaminate": op5_decontaminate, "op9_secret_cnn": op9_secret_cnn, "op1_hilbert_pack": op1_hilbert_pack, "op2_toxicity_fst": op2_toxicity_fst, "op3_url_filter": op3_url_filter, "op4_chat_format": op4_chat_format, "op7_quality_crf": op7_quality_crf, "op8_warc": op8_warc}
+QUERIES = {"op10_suffix_dedup": op10_suffix_dedup, "op6_near_dedup": op6_near_dedup, "op5_decontaminate": op5_decontaminate, "op9_secret_cnn": op9_secret_cnn, "op1_hilbert_pack": op1_hilbert_pack, "op2_toxicity_fst": op2_toxicity_fst, "op3_url_filter": op3_url_filter, "op4_chat_format": op4_chat_format, "op7_quality_crf": op7_quality_crf, "op8_warc": op8_warc}
 ORACLES = {"op3_url_filter": OP3_SQL, "op4_chat_format": OP4_SQL, "op8_warc": OP8_SQL}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .chat_tree import OP4_SQL, op4_chat_format
 from .decontaminate import op5_decontaminate
 from .hilbert_pack import op1_hilbert_pack
@@ -13,5 +15,17 @@ from .toxicity_fst import op2_toxicity_fst
 from .url_filter import OP3_SQL, op3_url_filter
 from .warc import OP8_SQL, op8_warc
 
-QUERIES = {"op10_suffix_dedup": op10_suffix_dedup, "op6_near_dedup": op6_near_dedup, "op5_decontaminate": op5_decontaminate, "op9_secret_cnn": op9_secret_cnn, "op1_hilbert_pack": op1_hilbert_pack, "op2_toxicity_fst": op2_toxicity_fst, "op3_url_filter": op3_url_filter, "op4_chat_format": op4_chat_format, "op7_quality_crf": op7_quality_crf, "op8_warc": op8_warc}
-ORACLES = {"op3_url_filter": OP3_SQL, "op4_chat_format": OP4_SQL, "op8_warc": OP8_SQL}
+QUERIES = {
+    "op1_hilbert_pack": op1_hilbert_pack,
+    "op2_toxicity_fst": op2_toxicity_fst,
+    "op3_url_filter": op3_url_filter,
+    "op4_chat_format": op4_chat_format,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_near_dedup": op6_near_dedup,
+    "op7_quality_crf": op7_quality_crf,
+    "op8_warc": op8_warc,
+    "op9_secret_cnn": op9_secret_cnn,
+    "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": corpus_pipeline.run,
+}
+ORACLES = {"op3_url_filter": OP3_SQL, "op4_chat_format": OP4_SQL, "op8_warc": OP8_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import row_queries  # noqa: F401  registers its queries
+from . import row_queries, scalar_queries  # noqa: F401  they register their queries
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -17,7 +17,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "boxes": ("part", ["p_partkey as box_id", "cast((p_partkey*37) % 2048 as int) as xtl", "cast((p_partkey*91) % 2048 as int) as ytl", "cast((p_partkey*37) % 2048 as int)+10+p_size as xbr", "cast((p_partkey*91) % 2048 as int)+10+cast((p_size*7) % 30 as int) as ybr", "p_retailprice as score", "cast(p_partkey % 9 as int) as tile_no"]),
     "walk": ("events", ["user_id", "event_id", "ts", "event_type", "value"]),
     "cells": ("lineitem", ["cast(l_partkey % 64 as int) as col", "cast(l_suppkey % 64 as int) as row_", "cast(l_quantity as int) as v", "cast(l_orderkey % 256 as int) as red", "cast(l_partkey % 256 as int) as green", "cast(l_suppkey % 256 as int) as blue"]),
-    "strips": ("orders", ["o_orderkey as strip_id", "cast(o_custkey % 40 as int) as block_no", "cast(round(o_totalprice*100) as bigint) % 3000 as t_cm", "cast(o_orderkey % 4000 as bigint) as s0_cm", "cast(o_orderkey % 4000 as bigint) + 500 + cast(round(o_totalprice) as bigint) % 4000 as s1_cm"]),
+    "strips": ("orders", ["o_orderkey as strip_id", "cast(o_custkey as int) as block_no", "cast(round(o_totalprice*100) as bigint) % 3000 as t_cm", "cast(o_orderkey % 4000 as bigint) as s0_cm", "cast(o_orderkey % 4000 as bigint) + 500 + cast(round(o_totalprice) as bigint) % 4000 as s1_cm"]),
     "points": ("supplier", ["s_suppkey as pid", "cast((s_suppkey*193) % 3001 as bigint) as x_cm", "cast((s_suppkey*389) % 2999 as bigint) as y_cm", "cast(s_nationkey as int) as kind"]),
 }
 

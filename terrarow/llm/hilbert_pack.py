@@ -49,12 +49,32 @@ _BYTE_CHARS = _byte_chars()
 _TAIL = ".,;:!?*$&%#|"
 
 
+class _Ids(dict):
+    """Packed ids by chunk; what isn't known is taken from the old generation or made."""
+
+    def __init__(self, make, old):
+        super().__init__({"": b""})
+        self.make, self.old = make, old
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            word = chunk.rstrip(_TAIL)
+            # a plain ending is looked up apart from its word
+            if word != chunk and word and word[-1].isalnum() and "'" not in word and "<" not in word:
+                ids = self[word] + self[chunk[len(word) :]]
+            else:
+                ids = self.make(chunk)
+        self[chunk] = ids
+        return ids
+
+
 class ChunkTokenizer:
     """Token ids of a text as packed bytes, from remembered ids of its chunks between ASCII white space.
 
     Right for tokenizers that drop white space, never join across it, and part letters and digits from other
-    characters: a chunk's ending of plain punctuation is looked up apart from its word. Ids are two bytes where they
-    fit, else four. A full generation becomes the old one; chunks met again move to the new one, so frequent ones stay.
+    characters. Ids are two bytes where they fit, else four. A full generation becomes the old one; chunks met again
+    move to the new one, so frequent ones stay.
     """
 
     def __init__(self, path: str):
@@ -64,61 +84,29 @@ class ChunkTokenizer:
         self.model = Tokenizer.from_file(path)
         self.code = "H" if self.model.get_vocab_size() <= 65536 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.lowers = False
-        self.known: dict[str, bytes] = {"": b""}
         pipeline = json.loads(self.model.to_str())
         kinds = lambda part, key: [x["type"] for x in (pipeline[part] or {}).get(key, ())]
         self.lowers = kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"] and pipeline["model"]["type"] == "BPE"
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        rest = chunks
-        if self.lowers:  # plain words need only lower case and the merges
-            bpe, rest = self.model.model.tokenize, []
-            for c in chunks:
-                if c.isalpha() and max(c) < _LATIN_END and "\u0130" not in c:
-                    word = c.lower()
-                    mapped = word if word.isascii() else word.encode().decode("latin1").translate(_BYTE_CHARS)
-                    self.known[c] = array(self.code, [t.id for t in bpe(mapped)]).tobytes()
-                else:
-                    rest.append(c)
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            for c, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[c] = array(self.code, e.ids).tobytes()
-
-    def _parts(self, chunk: str) -> tuple[str, str]:
-        """A word and its ending; all in the first where they can't be told apart safely."""
-        word = chunk.rstrip(_TAIL)
-        return (word, chunk[len(word) :]) if word and word[-1].isalnum() and "'" not in word and "<" not in word else (chunk, "")
+        self.merge = self.model.model.tokenize
+        self.known = _Ids(self._make, {})
+
+    def _make(self, chunk: str) -> bytes:
+        if self.lowers and chunk.isalpha() and max(chunk) < _LATIN_END and "\u0130" not in chunk:  # needs only lower case and the merges
+            word = chunk.lower()
+            return array(self.code, [t.id for t in self.merge(word if word.isascii() else word.encode().decode("latin1").translate(_BYTE_CHARS))]).tobytes()
+        return array(self.code, self.model.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        rows = []
+        if len(self.known) > MAX_CACHE:
+            self.known.old = {}
+            self.known = _Ids(self._make, dict(self.known))
+        ids, out = self.known.__getitem__, []
         for t in texts:
             for c in "\n\t\r\x0b\x0c":
                 if c in t:
                     t = t.replace(c, " ")
-            rows.append(t.split(" "))
-        if len(self.known) > MAX_CACHE:
-            self.known, self.old = {"": b""}, self.known
-        known, old = self.known, self.old
-        new = set()
-        for r in rows:
-            new.update(r)
-        new.difference_update(known)
-        for c in [c for c in new if c in old]:
-            known[c] = old[c]
-            new.discard(c)
-        split = {c: self._parts(c) for c in new}
-        words = {w for pair in split.values() for w in pair}.difference(known)
-        for w in [w for w in words if w in old]:
-            known[w] = old[w]
-            words.discard(w)
-        self._learn(list(words))
-        for c, (w, tail) in split.items():
-            if tail:
-                known[c] = known[w] + known[tail]
-        return [b"".join(map(known.__getitem__, r)) for r in rows]
+            out.append(b"".join(map(ids, t.split(" "))))
+        return out
 
 
 def tokenizer(path: str) -> ChunkTokenizer:

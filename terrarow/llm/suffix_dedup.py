@@ -91,15 +91,14 @@ def lcp_intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
 
     lcp[i] is the common prefix of sorted members i - 1 and i; lcp[0] is unused.
     """
-    stack = [(0, 0)]
+    stack: list[tuple[int, int]] = []
     for i in range(1, len(lcp) + 1):
         now = lcp[i] if i < len(lcp) else -1
         first = i - 1
         while stack and stack[-1][0] > now:
             length, first = stack.pop()
-            if i - 1 > first:
-                yield length, first, i - 1
-        if not stack or stack[-1][0] < now:
+            yield length, first, i - 1
+        if now >= 0 and (not stack or stack[-1][0] < now):
             stack.append((now, first))
 
 

@@ -1,0 +1,365 @@
+"""Operators on documents: brute force, held-out accuracy, and odd inputs (nulls, empty, long, ties, repeats, extra columns)."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from terrarow.llm import decontaminate, hilbert_pack, near_dedup, quality_crf, secret_cnn, suffix_dedup, toxicity_fst
+
+DIR = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, rid string, key string, label string"
+ODD = [None, "", " \n\t ", "a", "one two three four", "é ü ñ 漢字 \U0001f600", "x" * 5000, "word " * 3000, "\x00\x1c odd \u2028 text"]
+
+
+def frame(spark, texts, first=0):
+    """Documents with clashing extra columns."""
+    return spark.createDataFrame([(first + i, t, None, "s", None, "r", "k", "l") for i, t in enumerate(texts)], SCHEMA)
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def sample(spark):
+    return spark.read.parquet(f"{DIR}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet(f"{DIR}/labels.parquet")
+
+
+# packing
+
+
+def test_hilbert_curve_visits_each_cell_once_by_single_steps():
+    cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    index = hilbert_pack.hilbert_index(cells, 3)
+    assert sorted(index) == list(range(512))
+    assert (np.abs(np.diff(cells[np.argsort(index)], axis=0)).sum(1) == 1).all()
+
+
+def test_chunk_tokenizer_equals_the_model():
+    tok = hilbert_pack.ChunkTokenizer(hilbert_pack.default_vocabulary())
+    texts = [*(t or "" for t in ODD), "Don't stop. I'LL go!! É. é.\x0b(x),y;.. ΑΣ ΣΑΣ. İi 12.5%", "<|endoftext|>. a<|startoftext|>b", "e\u0301 \u0301x", prose(1, 300)]
+    for _ in range(2):
+        for text, ids in zip(texts, tok.encode(texts)):
+            assert np.frombuffer(ids, tok.dtype).tolist() == tok.model.encode(text, add_special_tokens=False).ids
+
+
+def packed_pieces(df):
+    rows = hilbert_pack.pack(df).collect()
+    by_doc = collections.defaultdict(list)
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u2")
+        assert len(ids) == r.length <= 2048 and r.padded == (r.length if r.length & (r.length - 1) == 0 else 2048)
+        at = 0
+        for p in r.pieces:
+            own = ids[p.offset : p.offset + p.length]
+            assert p.offset == at and zlib.crc32(own.astype("<u4").tobytes()) == p.ids_crc32
+            at += p.length
+            by_doc[p.doc_id].append((p.start, own, p.doc_tokens))
+        assert at == r.length
+    assert len({r.sequence_id for r in rows}) == len(rows)
+    return rows, by_doc
+
+
+def test_packing_round_trip(spark):
+    texts = [*ODD, prose(2, 6000), *[prose(3, 200)] * 40]
+    rows, by_doc = packed_pieces(frame(spark, texts))
+    model = hilbert_pack.ChunkTokenizer(hilbert_pack.default_vocabulary()).model
+    for i, t in enumerate(texts):
+        got = sorted(by_doc[i], key=lambda p: p[0])
+        ids = np.concatenate([p[1] for p in got])
+        assert ids.tolist() == [*model.encode(t or "", add_special_tokens=False).ids, 1]
+        assert [p[0] for p in got] == list(np.cumsum([0, *(len(p[1]) for p in got[:-1])])) and got[0][2] == len(ids)
+    assert sum(r.padded for r in rows) == sum(r.length for r in rows)
+
+
+def test_packing_nothing(spark):
+    assert hilbert_pack.pieces(hilbert_pack.pack(frame(spark, []))).count() == 0
+
+
+# toxicity
+
+
+def test_transducers_compose_and_match_scopes():
+    g = toxicity_fst.Grammar({"moron": 2.0}, {"idio": 2.0})
+    symbols = lambda s: [g.lexical(w)[0] for w in s.split()]
+    kind = lambda s: [o for o in g.scopes.best(symbols(s))[1] if o in (1, 6, 7, 8, 9)]
+    assert kind("the moron left") == [toxicity_fst.INSULT]
+    assert kind("you are a moron") == [toxicity_fst.INSULT_AT]
+    assert kind("he is not an idiot") == [toxicity_fst.INSULT_NOT]
+    assert kind("she said idiots lie") == [toxicity_fst.INSULT_SAID]
+    assert kind("i kill you") == [toxicity_fst.THREAT_AT]
+    assert g.scopes.best(symbols("you moron"))[0] > g.scopes.best(symbols("a moron"))[0] > g.scopes.best(symbols("not a moron"))[0]
+
+
+def test_toxicity_held_out(spark):
+    r = random.Random(5)
+    bad = ["slurgh", "vilegit", "scumbo"]
+    texts, ys = [], []
+    for i in range(700):
+        words = prose(i, 40).split()
+        y = i % 4 == 0
+        for _ in range(3 * y):
+            words.insert(r.randrange(len(words)), r.choice(bad) + r.choice(["", ".", "er"]))
+        texts.append(" ".join(words))
+        ys.append(int(y))
+    docs = frame(spark, texts)
+    known = spark.createDataFrame([(i, 1, y) for i, y in enumerate(ys)], "doc_id bigint, quality int, toxic int")
+    got = toxicity_fst.score(docs, toxicity_fst.fit(docs, known)).collect()
+    for g in got:
+        assert g.held_out == (zlib.crc32(str(g.doc_id).encode()) % 4 == 2) and 0 <= g.score <= 1 and g.predicted == int(g.score >= 0.3)
+    held = [g for g in got if g.held_out]
+    assert sum(g.predicted == ys[g.doc_id] for g in held) >= 0.97 * len(held)
+
+
+def test_toxicity_odd_inputs(spark):
+    docs, none = frame(spark, ODD), spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    got = toxicity_fst.score(docs, toxicity_fst.fit(docs, none)).collect()
+    assert len(got) == len(ODD) and all(g.predicted == 0 for g in got)
+    null_id = docs.limit(1).withColumn("doc_id", F.lit(None).cast("bigint"))
+    assert toxicity_fst.score(null_id, toxicity_fst.ToxicityModel(toxicity_fst.Grammar({}, {}), np.zeros(14))).first().held_out is False
+
+
+# quality rules
+
+
+def base_by_rule(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    triples = collections.Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    repeated = [False] * len(words)
+    for i in range(len(words) - 2):
+        if triples[tuple(words[i : i + 3])] > 1:
+            repeated[i : i + 3] = [True] * 3
+    seen, dups = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dups += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dups, sum(repeated)
+
+
+def test_quality_base_counts(sample):
+    texts = [r.text for r in sample.select("text").collect()] + [t or "" for t in ODD] + ["a b c\na b c\n\na b c ", "a\n a\na"]
+    for t in texts:
+        b = quality_crf.base_counts(t)
+        assert (b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, b.n_repeat_words) == base_by_rule(t)
+
+
+def test_viterbi_finds_the_best_labelling():
+    g = np.random.default_rng(3)
+    field = quality_crf.LineField(g.standard_normal(quality_crf.N_FEATURES), g.standard_normal((2, 2)))
+    for n in range(1, 8):
+        f = g.standard_normal((n, quality_crf.N_FEATURES))
+        score = lambda s: sum((f[i] @ field.w) * s[i] for i in range(n)) + sum(field.move[s[i - 1], s[i]] for i in range(1, n))  # noqa: B023, E731
+        every = [[k >> i & 1 for i in range(n)] for k in range(1 << n)]
+        assert field.viterbi(f).astype(int).tolist() == max(every, key=score)
+
+
+def test_quality_judges(spark, sample, labels):
+    model = quality_crf.fit_on_labels(sample, labels)
+    rows = {r.doc_id: r for r in quality_crf.judge(sample, model).collect()}
+    truth = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in rows and not rows[r.doc_id].base_failed}
+    assert sum(rows[i].kept == (y == 1) for i, y in truth.items()) >= 0.9 * len(truth)
+    odd = quality_crf.judge(frame(spark, ODD), model).collect()
+    assert len(odd) == len(ODD) and not any(r.kept for r in odd if r.base_failed)
+    kept = quality_crf.judge(sample, model, keep_columns=True)
+    assert kept.schema == sample.schema and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.kept}
+
+
+# decontamination
+
+
+def test_decontamination_against_brute_force(spark):
+    items = [(i, prose(900 + i, n)) for i, n in enumerate((3, 5, 12, 20, 33, 50))] + [(90, None), (91, ""), (3, None)]
+    index = decontaminate.BenchmarkIndex(items)
+    words = items[4][1].split()
+    texts = [*ODD, *(f"{prose(i, 60)} {items[i][1].upper()}! {prose(50 + i, 60)}" for i in range(6)), " ".join(words[:12] + ["changed"] + words[13:]), items[5][1], prose(7, 400)]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(frame(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        w = decontaminate.normal_words(t)
+        for s in index.sizes:
+            if len(w) < s.shingle:
+                continue
+            sh = near_dedup.shingle_hashes(w, s.shingle).tolist()
+            size = min(s.n_words - s.shingle + 1, len(sh))
+            for i in s.ids:
+                best = max(index.exact(i, sh[p : p + size]) for p in range(len(sh) - size + 1))
+                if best >= 0.8:
+                    want[d, i] = best
+    assert got == want and {(len(ODD) + i, i) for i in range(6)} <= set(got)
+    clean = decontaminate.without_leaks(frame(spark, texts), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_block_tables_find_all_within_the_radius():
+    g = np.random.default_rng(2)
+    index = decontaminate.BenchmarkIndex([(i, prose(i, 20)) for i in range(30)])
+    s = index.sizes[0]
+    prints = s.prints[g.integers(0, 30, 200)].copy()
+    for i in range(200):
+        for b in g.choice(64, g.integers(0, 26), replace=False):
+            prints[i] ^= np.uint64(1) << np.uint64(b)
+    want = {(w, i) for w in range(200) for i in range(30) if bin(int(prints[w] ^ s.prints[i])).count("1") <= decontaminate.RADIUS}
+    assert set(index._near(s, prints)) == want
+
+
+def test_empty_benchmark(spark):
+    assert decontaminate.leaks(frame(spark, ODD), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
+
+
+# secret scans
+
+
+def test_base_spans():
+    text = 'é token = "abcd1234" AKIA1234567890ABCD PASSWD:short API-KEY=x apikey=longenough1 ' + "0" * 31 + " " + "a1" * 16
+    got = [(secret_cnn.KINDS[k], text[a:b]) for a, k, b in secret_cnn.base_spans(text)]
+    assert got == [("assign", 'token = "abcd1234'), ("access", "AKIA1234567890ABCD"), ("assign", "apikey=longenough1"), ("hex", "a1" * 16)]
+
+
+def test_network_learns_and_holds_recall():
+    net = secret_cnn.CharNet().fit(*secret_cnn.generated(1600))
+    windows, y = secret_cnn.generated(600, seed=77)
+    hit = net.probabilities(windows) >= net.threshold
+    y = np.array(y) == 1
+    assert hit[y].mean() >= 0.9 and hit[~y].mean() <= 0.05
+
+
+def test_secret_scan_and_redaction(spark):
+    texts = [*ODD, 'so token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" it is', "the key xoxb-12345678901-123456789012-AbCdEfGhIjKlMnOpQrStUvWx ends", "mail 12.ab@mail3.example.com"]
+    docs = frame(spark, texts)
+    net = secret_cnn.fit(docs)
+    rows = {r.doc_id: r for r in secret_cnn.scan(docs, net).collect()}
+    n = len(ODD)
+    assert (rows[n].n_assign, rows[n].n_access, rows[n].n_hex) == (1, 0, 1) and rows[n].spans == "assign:3:52,hex:12:52"
+    assert rows[n].base_sha256 == hashlib.sha256(rows[n].spans.encode()).hexdigest()
+    assert "model" in rows[n + 1].spans and rows[n + 2].spans == "" and all(rows[i].spans == "" for i in range(len(ODD)))
+    clean = {r.doc_id: r for r in secret_cnn.redact(docs, net).collect()}
+    assert clean[n].text == 'so [secret]" it is' and clean[0].text is None and clean[n].n_chars == len(clean[n].text)
+    assert secret_cnn.scan(frame(spark, []), net).count() == 0
+
+
+# near duplicates
+
+
+def weighted_classes(texts, df, n_docs):
+    idf = near_dedup.idf_of(df, n_docs)
+    sets = [near_dedup.shingle_counts(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i][0]) and (texts[i] == texts[j] or near_dedup.similarity(sets[i], sets[j], idf) >= 0.8):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return {i: root(i) for i in range(len(texts))}
+
+
+def test_consistent_samples_estimate_weighted_jaccard():
+    idf = np.ones(near_dedup.SLOTS, np.float32) * 2
+    a, b = near_dedup.shingle_counts(prose(1, 400)), near_dedup.shingle_counts(prose(1, 400) + " " + prose(2, 150))
+    hits = np.mean(near_dedup.samples(a[0], a[1] * 2.0) == near_dedup.samples(b[0], b[1] * 2.0))
+    assert abs(hits - near_dedup.similarity(a, b, idf)) < 0.2
+
+
+def test_near_duplicates_against_brute_force(spark):
+    r = random.Random(4)
+    texts = [*ODD, *ODD]
+    for g in range(4):
+        base = prose(100 + g, 120).split()
+        for _ in range(14):
+            w = list(base)
+            for _ in range(r.randint(0, 5)):
+                w[r.randrange(len(w))] = prose(r.random(), 1)
+            texts.append(" ".join(w))
+    docs = frame(spark, texts)
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(docs).collect()}
+    assert got == weighted_classes(texts, *near_dedup.document_frequencies(docs))
+    kept = near_dedup.one_of_each(docs)
+    assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, c in got.items() if i == c}
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
+
+
+# repeats
+
+
+def repeats_by_rule(texts, length):
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    seen = collections.Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        cover = np.zeros(len(d), bool)
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                cover[i : i + length] = True
+        out.append(cover)
+    return data, out
+
+
+@pytest.mark.parametrize("group", [250, 1])
+def test_repeats_against_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    shared = prose(1, 60)
+    texts = [*ODD, *(f"{prose(20 + i, 30)} {shared[i : 300 - 7 * i]} {prose(40 + i, 30)}" for i in range(8)), "ab" * 300, prose(60, 90), prose(60, 90), "é" * 250]
+    docs = frame(spark, texts)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    for i, (d, cover) in enumerate(zip(*repeats_by_rule(texts, 200))):
+        edges = np.flatnonzero(np.diff(np.r_[0, cover.astype(int), 0]))
+        assert [(x.start, x.end) for x in got[i].removed] == list(zip(edges[::2].tolist(), edges[1::2].tolist())), i
+        assert bytes(got[i].kept) == bytes(np.frombuffer(d, np.uint8)[~cover]) and got[i].n_bytes == len(d)
+
+
+def test_repeated_rows_are_repeats_of_each_other(spark):
+    docs = frame(spark, [prose(1, 80)]).union(frame(spark, [prose(1, 80)]))
+    assert [bytes(r.kept) for r in suffix_dedup.remove_repeats(docs).collect()] == [b"", b""]
+    assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_maximal_repeats_have_all_occurrences():
+    contexts = [(b"xxab" + b"cdefgh1", 4), (b"yyab" + b"cdefgh2", 4), (b"zzab" + b"cdXXXXX", 4)]
+    got = {(left, right): sorted(m) for left, right, m in suffix_dedup.maximal_repeats(contexts, 3)}
+    assert got == {(2, 6): [0, 1], (2, 2): [0, 1, 2]}
+
+
+def test_blocks_of_long_texts_agree(monkeypatch):
+    data = np.frombuffer(prose(1, 2000).encode(), np.uint8)
+    whole = [np.concatenate(x) for x in zip(*suffix_dedup.anchors(data))]
+    monkeypatch.setattr(suffix_dedup, "_BLOCK", 999)
+    parts = [np.concatenate(x) for x in zip(*suffix_dedup.anchors(data))]
+    expand = lambda a: [(int(k), int(p)) for k, p, lo, hi in zip(*a) for _ in range(lo, hi + 1)]
+    assert expand(whole) == expand(parts)
+
+
+def test_interval_tree_by_rule():
+    r = random.Random(8)
+    for _ in range(200):
+        words = sorted("".join(r.choices("ab", k=r.randint(1, 6))) for _ in range(r.randint(2, 9)))
+        common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        lcp = [0] + [common(a, b) for a, b in zip(words, words[1:])]
+        want = set()
+        for i in range(len(words)):
+            for j in range(i + 1, len(words)):
+                low = min(lcp[i + 1 : j + 1])
+                if (i == 0 or lcp[i] < low) and (j + 1 == len(words) or lcp[j + 1] < low):
+                    want.add((low, i, j))
+        got = list(suffix_dedup.lcp_intervals(lcp))
+        assert set(got) == want and len(got) == len(want)

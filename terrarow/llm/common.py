@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,53 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Rows that one Python call handles at a time; bounds a worker's memory.
-SLICE = 512
+from terrarow.storage import drop_path, new_path, shared_dir, stored
 
-_dirs: dict[str, list[str]] = {}
+__all__ = ["SLICE", "drop_path", "map_rows", "new_path", "shared_dir", "stored", "table"]
 
+#: Rows that one Python call handles at a time; bounds a worker's memory.
+SLICE = 512
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _dirs:
-            _dirs[app] = [f"file://{tempfile.mkdtemp(prefix='terrarow-')}"]
-        base = _dirs[app][0]
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(drop_path, spark, path)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder; a session that has ended is left alone."""
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the JVM may be gone at exit
-        pass
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow with fn called on slices of at most SLICE rows; fn yields dicts of columns."""
     arrow = to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema))

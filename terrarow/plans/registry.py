@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import join_queries, row_queries, scalar_queries, table_queries  # noqa: F401  they register their queries
+from . import field_queries, join_queries, row_queries, scalar_queries, table_queries  # noqa: F401  they register their queries
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

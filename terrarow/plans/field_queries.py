@@ -148,10 +148,10 @@ def tiles_by_name(spark, sf_dir):
     return b.select("box_id", F.coalesce("geo", grid.X0 + F.col("tile_no") * grid.TILE_M).alias("x"), F.when(F.col("geo").isNull(), "name").otherwise("file").alias("how"))
 
 
-@query("WITH l AS (SELECT event_id, user_id % 20 AS entry, row_number() OVER (ORDER BY ts, event_id) AS place, 10 + user_id % 20 AS size FROM walk WHERE event_id < 2000), p AS (SELECT *, lag(place) OVER (PARTITION BY entry ORDER BY place) AS b FROM l), d AS (SELECT p.place, (SELECT sum(z) FROM (SELECT DISTINCT x.entry, x.size AS z FROM l x WHERE x.place >= p.b AND x.place < p.place)) AS bytes FROM p WHERE b IS NOT NULL) SELECT p.place, p.entry, coalesce(bytes <= 200, false) AS hit FROM p LEFT JOIN d ON p.place = d.place")
+@query("WITH l AS (SELECT event_id, user_id % 20 AS entry, event_id AS place, 10 + user_id % 20 AS size FROM walk WHERE event_id < 2000), p AS (SELECT *, lag(place) OVER (PARTITION BY entry ORDER BY place) AS b FROM l), d AS (SELECT p.place, (SELECT sum(z) FROM (SELECT DISTINCT x.entry, x.size AS z FROM l x WHERE x.place >= p.b AND x.place < p.place)) AS bytes FROM p WHERE b IS NOT NULL) SELECT p.place, p.entry, coalesce(bytes <= 200, false) AS hit FROM p LEFT JOIN d ON p.place = d.place")
 def bounded_cache(spark, sf_dir):
     log = view(spark, sf_dir, "walk").where("event_id < 2000").select("event_id", "ts", (F.col("user_id") % 20).alias("entry"), (F.col("user_id") % 20 + 10).alias("size"))
-    return field.bounded_cache(log, "entry", ["ts", "event_id"], "size", 200).select(F.col("at").cast("bigint").alias("place"), "entry", "hit")
+    return field.bounded_cache(log, "entry", "event_id", "size", 200).select(F.col("at").cast("bigint").alias("place"), "entry", "hit")
 
 
 @query()

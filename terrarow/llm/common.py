@@ -11,10 +11,11 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from terrarow.storage import drop_path, new_path, shared_dir, stored
 
-__all__ = ["SLICE", "drop_path", "map_rows", "new_path", "shared_dir", "stored", "table"]
+__all__ = ["SLICE", "SLICE_BYTES", "drop_path", "map_rows", "new_path", "shared_dir", "stored", "table"]
+
+#: Rows, and bytes of input about, that one Python call handles at a time; both bound a worker's memory.
+SLICE, SLICE_BYTES = 512, 8 << 20
 
-#: Rows that one Python call handles at a time; bounds a worker's memory.
-SLICE = 512
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, by any path that Spark can read."""
@@ -22,13 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow with fn called on slices of at most SLICE rows; fn yields dicts of columns."""
+    """mapInArrow with fn called on slices of at most SLICE rows and of SLICE_BYTES about; fn yields dicts of columns."""
     arrow = to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema))
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                for columns in fn(batch.slice(at, SLICE)):
+            step = max(1, min(SLICE, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                for columns in fn(batch.slice(at, step)):
                     yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)

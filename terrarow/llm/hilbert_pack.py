@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-A text's words are hashed with signs into DIMS slots; that vector is projected to three dimensions, each mapped to
+A text's tokens are hashed with signs into DIMS slots; that vector is projected to three dimensions, each mapped to
 a uniform scale, and the point's Hilbert index orders the corpus. Documents are range-partitioned and sorted by
 (index, hash of id), so even a large group of equal texts spreads over partitions, and each partition packs its
 stretch of the curve without gaps: documents are concatenated and cut every seq_len tokens. What is left at a
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, stored, table
-from .textual import as_bytes, word_hashes
+from .textual import mix
 
 DIMS, ORDER = 64, 16
 SEQ_LEN, END_ID = 2048, 1
@@ -33,6 +33,7 @@ MAX_CACHE = 600_000
 TASK_BYTES = 48 << 20
 
 _tokenizers: dict = {}
+_hashes: dict = {}
 
 
 #: Letters below this are lower-cased one by one and composed already.
@@ -82,7 +83,8 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.code = "H" if self.model.get_vocab_size() <= 65536 else "I"
+        self.n_ids = max(self.model.get_vocab(True).values()) + 1
+        self.code = "H" if self.n_ids <= 65536 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         pipeline = json.loads(self.model.to_str())
         kinds = lambda part, key: [x["type"] for x in (pipeline[part] or {}).get(key, ())]
@@ -152,21 +154,29 @@ def hilbert_index(points: np.ndarray, order: int = ORDER) -> np.ndarray:
     return out
 
 
-def hashed_vector(text: str | None) -> np.ndarray:
-    """Signed square roots of hashed word counts, of length one (zero for no words)."""
-    words, _, _ = word_hashes(as_bytes(text))
-    v = np.bincount((words & np.uint64(DIMS - 1)).astype(np.int64), np.where(words >> np.uint64(63), 1.0, -1.0), DIMS)
+def _slots(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and sign of each token id below n."""
+    if n not in _hashes:
+        h = mix(np.arange(1, n + 1, dtype=np.uint64))
+        _hashes[n] = (h & np.uint64(DIMS - 1)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+    return _hashes[n]
+
+
+def hashed_vector(ids: np.ndarray, n_ids: int) -> np.ndarray:
+    """Signed square roots of hashed token counts, of length one (zero for no tokens)."""
+    slot, sign = _slots(n_ids)
+    v = np.bincount(slot[ids], sign[ids], DIMS)
     v = np.sign(v) * np.sqrt(np.abs(v))
     size = np.sqrt(v @ v)
     return v / size if size else v
 
 
-def curve_keys(texts: list[str | None], order: int = ORDER) -> np.ndarray:
-    """Hilbert index of each text."""
-    if not texts:
+def curve_keys(documents: list[np.ndarray], n_ids: int, order: int = ORDER) -> np.ndarray:
+    """Hilbert index of each document's token ids."""
+    if not documents:
         return np.zeros(0, np.int64)
     project = np.random.default_rng(20240229).standard_normal((DIMS, 3))
-    at = np.stack([hashed_vector(t) for t in texts]) @ project
+    at = np.stack([hashed_vector(d, n_ids) for d in documents]) @ project
     uniform = 1 / (1 + np.exp(-1.702 * at))  # the logistic curve stands for the normal distribution's
     return hilbert_index(np.minimum((uniform * (1 << order)).astype(np.int64), (1 << order) - 1), order)
 
@@ -178,8 +188,9 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
         texts = [t or "" for t in batch.column(1).to_pylist()]
         tok = tokenizer(vocabulary)
         end = np.array([end_id], tok.dtype).tobytes()
-        ids = [x + end for x in tok.encode(texts)]
-        yield {"doc_id": batch.column(0), "tie": batch.column(2), "curve": curve_keys(texts), "n_tokens": [len(x) // tok.dtype.itemsize for x in ids], "ids": ids}
+        ids = tok.encode(texts)
+        curve = curve_keys([np.frombuffer(x, tok.dtype) for x in ids], tok.n_ids)
+        yield {"doc_id": batch.column(0), "tie": batch.column(2), "curve": curve, "n_tokens": [len(x) // tok.dtype.itemsize + 1 for x in ids], "ids": [x + end for x in ids]}
 
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", F.length("text")).alias("tie"))
     return map_rows(rows, run, "doc_id bigint, curve bigint, tie bigint, n_tokens bigint, ids binary")

@@ -128,13 +128,13 @@ def direction_assignment(spark, sf_dir):
     return rows.majority(got.groupBy("seg_id", "block_id").agg(F.max("v").alias("v")), ["seg_id"], "block_id", F.col("v")).select("seg_id", F.col("winner").alias("block_id"))
 
 
-@query("WITH RECURSIVE e AS (SELECT a.pid AS a, b.pid AS b FROM points a JOIN points b ON a.pid <> b.pid AND (a.x_cm - b.x_cm) * (a.x_cm - b.x_cm) + (a.y_cm - b.y_cm) * (a.y_cm - b.y_cm) <= 62500), w AS (SELECT CAST(0 AS BIGINT) AS id UNION SELECT e.b FROM w JOIN e ON e.a = w.id), d AS (SELECT b.box_id, p.pid, (b.xtl - p.x_cm) * (b.xtl - p.x_cm) + (b.ytl - p.y_cm) * (b.ytl - p.y_cm) AS d2 FROM boxes b JOIN points p ON true JOIN w ON w.id = p.pid WHERE b.box_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY box_id ORDER BY d2, pid) AS i FROM d WHERE d2 <= 250000) SELECT pid AS node, min(box_id) AS target, count(*) AS targets FROM k WHERE i = 1 GROUP BY 1")
+@query("WITH RECURSIVE e AS (SELECT a.pid AS a, b.pid AS b FROM points a JOIN points b ON a.pid <> b.pid AND (a.x_cm - b.x_cm) * (a.x_cm - b.x_cm) + (a.y_cm - b.y_cm) * (a.y_cm - b.y_cm) <= 62500), w AS (SELECT CAST(0 AS BIGINT) AS id UNION SELECT e.b FROM w JOIN e ON e.a = w.id), d AS (SELECT b.box_id, p.pid, (b.xtl - p.x_cm) * (b.xtl - p.x_cm) + (b.ytl - p.y_cm) * (b.ytl - p.y_cm) AS d2 FROM boxes b JOIN points p ON true JOIN w ON w.id = p.pid), k AS (SELECT *, row_number() OVER (PARTITION BY box_id ORDER BY d2, pid) AS i FROM d WHERE d2 <= 250000) SELECT pid AS node, min(box_id) AS target, count(*) AS targets FROM k WHERE i = 1 GROUP BY 1")
 def snapped_targets(spark, sf_dir):
     """Targets at their nearest node within 5 m that is connected to the start; the first target of a node stands for it."""
     labels = graph.components(_point_edges(spark, sf_dir))
     start = labels.where("id = 0").select("label")
     p = view(spark, sf_dir, "points").select("pid", "x_cm", "y_cm").join(labels.join(start, "label", "left_semi"), F.col("pid") == F.col("id"), "left_semi")
-    t = view(spark, sf_dir, "boxes").where("box_id % 20 = 0").select("box_id", "xtl", "ytl")
+    t = view(spark, sf_dir, "boxes").select("box_id", "xtl", "ytl")
     near = spatial.nearest(t, p, "box_id", "xtl", "ytl", "x_cm", "y_cm", "pid", 500)
     return near.groupBy(F.col("pid").alias("node")).agg(F.min("box_id").alias("target"), F.count("*").alias("targets"))
 
@@ -148,9 +148,9 @@ def tiles_by_name(spark, sf_dir):
     return b.select("box_id", F.coalesce("geo", grid.X0 + F.col("tile_no") * grid.TILE_M).alias("x"), F.when(F.col("geo").isNull(), "name").otherwise("file").alias("how"))
 
 
-@query("WITH l AS (SELECT event_id, user_id % 20 AS entry, event_id AS place, 10 + user_id % 20 AS size FROM walk WHERE event_id < 2000), p AS (SELECT *, lag(place) OVER (PARTITION BY entry ORDER BY place) AS b FROM l), d AS (SELECT p.place, (SELECT sum(z) FROM (SELECT DISTINCT x.entry, x.size AS z FROM l x WHERE x.place >= p.b AND x.place < p.place)) AS bytes FROM p WHERE b IS NOT NULL) SELECT p.place, p.entry, coalesce(bytes <= 200, false) AS hit FROM p LEFT JOIN d ON p.place = d.place")
+@query("WITH l AS (SELECT event_id, user_id % 20 AS entry, event_id AS place, 10 + user_id % 20 AS size FROM walk), p AS (SELECT *, lag(place) OVER (PARTITION BY entry ORDER BY place) AS b FROM l), d AS (SELECT p.place, (SELECT sum(z) FROM (SELECT DISTINCT x.entry, x.size AS z FROM l x WHERE x.place >= p.b AND x.place < p.place)) AS bytes FROM p WHERE b IS NOT NULL) SELECT p.place, p.entry, coalesce(bytes <= 200, false) AS hit FROM p LEFT JOIN d ON p.place = d.place")
 def bounded_cache(spark, sf_dir):
-    log = view(spark, sf_dir, "walk").where("event_id < 2000").select("event_id", "ts", (F.col("user_id") % 20).alias("entry"), (F.col("user_id") % 20 + 10).alias("size"))
+    log = view(spark, sf_dir, "walk").select("event_id", "ts", (F.col("user_id") % 20).alias("entry"), (F.col("user_id") % 20 + 10).alias("size"))
     return field.bounded_cache(log, "entry", "event_id", "size", 200).select(F.col("at").cast("bigint").alias("place"), "entry", "hit")
 
 

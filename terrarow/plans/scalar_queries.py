@@ -102,7 +102,7 @@ def ring_texts(spark, sf_dir):
 def interval_subtraction(spark, sf_dir):
     """Strips less the first 3 m of every 10 m."""
     cuts = F.transform(F.sequence(F.lit(0), F.lit(9000), F.lit(1000)), lambda a: F.struct(a.cast("double").alias("a"), (a + 300).cast("double").alias("b")))
-    strips = view(spark, sf_dir, "strips").where("s1_cm <= 9000")
+    strips = view(spark, sf_dir, "strips")
     rest = geom.subtract_intervals(F.col("s0_cm"), F.col("s1_cm"), cuts)
     total = F.aggregate(rest, F.lit(0.0), lambda s, x: s + x["b"] - x["a"])
     return strips.select("strip_id", "s0_cm", "s1_cm", total.alias("left_cm"))
@@ -128,11 +128,10 @@ def display_texts(spark, sf_dir):
     return view(spark, sf_dir, "points").select("pid", text.block_name(F.col("kind")).alias("block"), text.metres(x * 1.0).alias("m"), text.square_metres(x * 1.0).alias("m2"), text.hectares(x / 10000).alias("ha"))
 
 
-@query("SELECT c_custkey, lower(trim(' ' || c_name || '@Example.COM ')) AS email, nullif(trim(CASE WHEN c_custkey % 3 = 0 THEN '  ' ELSE c_name END), '') AS name, TRY_CAST(CASE WHEN c_custkey % 4 = 0 THEN 'n/a' ELSE CAST(c_custkey AS VARCHAR) END AS DOUBLE) AS num, regexp_extract('/a/b/' || c_name, '[^/]*$') AS base FROM customer WHERE c_name IS NOT NULL AND NOT regexp_matches(c_name, '[@\\s]')")
+@query("SELECT c_custkey, CASE WHEN regexp_matches(c_name, '^[^@\\s]+$') THEN lower(trim(' ' || c_name || '@Example.COM ')) END AS email, nullif(trim(CASE WHEN c_custkey % 3 = 0 THEN '  ' ELSE c_name END), '') AS name, TRY_CAST(CASE WHEN c_custkey % 4 = 0 THEN 'n/a' ELSE CAST(c_custkey AS VARCHAR) END AS DOUBLE) AS num, regexp_extract('/a/b/' || c_name, '[^/]*$') AS base FROM customer")
 def text_coercion(spark, sf_dir):
     k, name = F.col("c_custkey"), F.col("c_name")
-    got = table(spark, sf_dir, "customer").where(name.isNotNull() & ~name.rlike(r"[@\s]"))
-    return got.select("c_custkey", text.normal_email(F.concat(F.lit(" "), name, F.lit("@Example.COM "))).alias("email"), text.blank_to_null(F.when(k % 3 == 0, "  ").otherwise(name)).alias("name"), text.number(F.when(k % 4 == 0, "n/a").otherwise(k.cast("string"))).alias("num"), text.basename(F.concat(F.lit("/a/b/"), name)).alias("base"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.normal_email(F.concat(F.lit(" "), name, F.lit("@Example.COM "))).alias("email"), text.blank_to_null(F.when(k % 3 == 0, "  ").otherwise(name)).alias("name"), text.number(F.when(k % 4 == 0, "n/a").otherwise(k.cast("string"))).alias("num"), text.basename(F.concat(F.lit("/a/b/"), name)).alias("base"))
 
 
 @query("SELECT block_id, row_number() OVER (ORDER BY CAST(substr(block_id, 2) AS BIGINT), block_id) AS place FROM (SELECT DISTINCT block_id FROM segments)")

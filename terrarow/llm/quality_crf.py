@@ -2,7 +2,7 @@ r"""Quality rules: a linear-chain conditional random field labels lines as conte
 
 Viterbi decoding marks every line with a word; a document is kept if the share of its words on content lines is at
 least min_share and the base rules hold. The field is trained in numpy on the lines of a bounded sample of labelled
-documents (MAX_TRAIN, the documented bound, taken by a hash of the id); a line's label is its document's quality.
+documents (MAX_TRAIN, MAX_TRAIN_LINES, the documented bounds, taken by a hash of the id); a line's label is its document's quality.
 Features are taken of every whole line of every whole text.
 
 Words are runs of characters other than space and \t-\r. Edge cases: null or empty text has no words and fails the
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import map_rows, table
 from .textual import as_bytes, shingle_hashes, word_hashes
 
-#: Labelled documents that the field is fitted on, at most.
-MAX_TRAIN = 3000
+#: Labelled documents that the field is fitted on, and lines of each, at most.
+MAX_TRAIN, MAX_TRAIN_LINES = 3000, 400
+#: Share of the clean documents of the fit that the decoding must keep.
+KEEP_CLEAN = 0.999
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_SHARE = 50, 50, 0.5
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SYMBOL_BYTE = np.zeros(256, bool)
@@ -186,6 +188,15 @@ def train_field(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 15
     return LineField(w, move)
 
 
+def held_to_clean(field: LineField, clean: list[np.ndarray]) -> LineField:
+    """The field with the least content bias, in quarters up to 1, that keeps KEEP_CLEAN of the clean chains."""
+    for bias in (0.0, 0.25, 0.5, 0.75, 1.0):
+        out = LineField(field.w + np.r_[bias, np.zeros(len(field.w) - 1)], field.move)
+        if sum(out.viterbi(f).mean() >= MIN_SHARE for f in clean) >= KEEP_CLEAN * len(clean):
+            break
+    return out
+
+
 def fit_on_labels(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> LineField:
     """The field fitted on max_train labelled documents at most; only line features come to the driver."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -194,11 +205,11 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
 
     def features(batch):
         base = [base_counts(t.as_py()) for t in batch.column(1)]
-        yield {"quality": batch.column(0), "features": [line_features(b)[:400].astype(np.float32).tobytes() for b in base]}
+        yield {"quality": batch.column(0), "features": [line_features(b)[:MAX_TRAIN_LINES].astype(np.float32).tobytes() for b in base]}
 
     got = map_rows(rows, features, "quality int, features binary").orderBy("quality", "features").collect()
     chains = [(np.frombuffer(r.features, np.float32).reshape(-1, N_FEATURES).astype(float), r.quality) for r in got if r.features]
-    return train_field([(f, np.full(len(f), q)) for f, q in chains])
+    return held_to_clean(train_field([(f, np.full(len(f), q)) for f, q in chains]), [f for f, q in chains if q == 1])
 
 
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, content_share double, n_boilerplate_lines bigint, kept boolean"

@@ -224,10 +224,12 @@ def _repeats_by_halving(rows: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """rid, start, end: byte spans whose strings of length bytes all repeat; they may overlap. docs: rid, text."""
     rows = stored(_anchor_rows(docs, length, gram), "anchors")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # aggregates are stored before they are joined, so both sides of a join are plain exchanges that can be split
+    shared = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
     rows = stored(rows.join(shared, "key"), "shared-anchors")
     contexts = stored(rows.groupBy("key", "ctx").agg(F.count("*").alias("cnt"), F.min(F.struct("rid", "at", "before", "span")).alias("r")), "contexts")
     open_keys = contexts.groupBy("key").agg(F.count("*").alias("n_ctx"), F.min("cnt").alias("least")).where("n_ctx > 1 AND least = 1").select("key", "n_ctx")
+    open_keys = stored(open_keys, "open-keys")
     wanted = contexts.join(open_keys, "key").groupBy(F.col("r.rid").alias("rid")).agg(F.collect_list(F.struct("key", "cnt", "n_ctx", "r.at", "r.before", "r.span")).alias("a"))
 
     def cut(batch):

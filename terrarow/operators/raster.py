@@ -17,12 +17,11 @@ def window_starts(size: int, window: int, step: int) -> Column:
 
 
 def pyramid(cells: DataFrame, x: str, y: str, values: list[str], levels: int) -> DataFrame:
-    """z, x, y and the mean values of 2**z by 2**z cells, for z from 0 to levels; sums are kept, not means of means."""
+    """z, x, y and the mean values of 2**z by 2**z cells, for z from 0 to levels, all from the finest cells."""
     z = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("z")
-    out = cells.select("*", z).withColumns({"_x": F.shiftright(F.col(x), 1), "_y": F.col(y)})
     scale = F.pow(F.lit(2.0), F.col("z"))
-    out = out.withColumns({"_x": F.floor(F.col(x) / scale).cast("int"), "_y": F.floor(F.col(y) / scale).cast("int")})
-    return out.groupBy("z", F.col("_x").alias("px"), F.col("_y").alias("py")).agg(*(F.avg(v).alias(v) for v in values))
+    at = lambda c: F.floor(F.col(c) / scale).cast("int")
+    return cells.select("*", z).groupBy("z", at(x).alias("px"), at(y).alias("py")).agg(*(F.avg(v).alias(v) for v in values))
 
 
 def any_hit(cells: DataFrame, x: str, y: str, factor: int, hit: Column, share: float) -> DataFrame:

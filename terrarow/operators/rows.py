@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,13 +69,9 @@ def majority(df: DataFrame, keys: Sequence[str], value: str, weight: Column | No
     """The value of the largest weight (count) in each group; ties go to the smaller value."""
     w = F.sum(weight) if weight is not None else F.count("*")
     votes = df.groupBy(*keys, value).agg(w.alias("w"))
-    best = F.max(F.struct("w", F.lit(0))).alias("b")
-    tops = votes.groupBy(*keys).agg(best).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("b.w").alias("_w"))
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("w") == F.col("_w")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return votes.join(tops, cond).groupBy(*keys).agg(F.min(value).alias(out), F.max("w").alias("weight"))
+    tops = votes.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max("w").alias("_w"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.col("w") == F.col("_w"))
+    return votes.join(tops, same).groupBy(*keys).agg(F.min(value).alias(out), F.max("w").alias("weight"))
 
 
 def trimmed_line(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

@@ -139,13 +139,13 @@ def snapped_targets(spark, sf_dir):
     return near.groupBy(F.col("pid").alias("node")).agg(F.min("box_id").alias("target"), F.count("*").alias("targets"))
 
 
-@query("SELECT box_id, CASE WHEN box_id % 4 = 0 THEN 628992.0 + tile_no * 51.2 ELSE xtl * 1.0 END AS x, CASE WHEN box_id % 4 = 0 THEN 'name' ELSE 'file' END AS how FROM boxes")
+@query("SELECT box_id, CAST(CASE WHEN box_id % 4 = 0 THEN 628992.0 + tile_no * 51.2 ELSE xtl * 1.0 END AS DOUBLE) AS x, CASE WHEN box_id % 4 = 0 THEN 'name' ELSE 'file' END AS how FROM boxes")
 def tiles_by_name(spark, sf_dir):
     """Places of tiles from their files, or by name where a file has none."""
     from terrarow.functions import grid
 
     b = view(spark, sf_dir, "boxes").withColumn("geo", F.when(F.col("box_id") % 4 != 0, F.col("xtl") * 1.0))
-    return b.select("box_id", F.coalesce("geo", grid.X0 + F.col("tile_no") * grid.TILE_M).alias("x"), F.when(F.col("geo").isNull(), "name").otherwise("file").alias("how"))
+    return b.select("box_id", F.coalesce("geo", grid.tile_x(F.col("tile_no"))).alias("x"), F.when(F.col("geo").isNull(), "name").otherwise("file").alias("how"))
 
 
 @query("WITH l AS (SELECT event_id, user_id % 20 AS entry, event_id AS place, 10 + user_id % 20 AS size FROM walk), p AS (SELECT *, lag(place) OVER (PARTITION BY entry ORDER BY place) AS b FROM l), d AS (SELECT p.place, (SELECT sum(z) FROM (SELECT DISTINCT x.entry, x.size AS z FROM l x WHERE x.place >= p.b AND x.place < p.place)) AS bytes FROM p WHERE b IS NOT NULL) SELECT p.place, p.entry, coalesce(bytes <= 200, false) AS hit FROM p LEFT JOIN d ON p.place = d.place")

@@ -135,7 +135,7 @@ def centre_lines(spark, sf_dir):
     return b.select("tile_no", "xtl", "ytl", "xbr", "ybr").groupBy("tile_no").applyInPandas(run, f"tile_no {kind}, n bigint, made boolean")
 
 
-@query("SELECT strip_id, 2.0 * 0.6 * (s1_cm - s0_cm) / 100 AS area FROM (SELECT strip_id, s0_cm, s1_cm FROM strips)")
+@query("SELECT strip_id, round(1.2 * (s1_cm - s0_cm) / 100, 4) AS area FROM (SELECT strip_id, s0_cm, s1_cm FROM strips)")
 def row_strips(spark, sf_dir):
     """Obstacle strips 0.6 m to both sides of a row: area of the ring about a straight line."""
     s = view(spark, sf_dir, "strips")

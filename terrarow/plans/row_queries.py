@@ -101,7 +101,7 @@ def main_direction(spark, sf_dir):
     return rows.main_direction(view(spark, sf_dir, "points"), ["kind"], "x_cm", "y_cm").select("kind", F.round("angle_deg", 4).alias("angle_deg"))
 
 
-@query("WITH a AS (SELECT block_no, row_no, count(*) * 10 AS area, lead(row_no) OVER (PARTITION BY block_no ORDER BY row_no) AS other FROM vines GROUP BY block_no, row_no), h AS (SELECT block_no, row_no, 0.5 * area AS half FROM a UNION ALL SELECT block_no, other, 0.5 * area FROM a WHERE other IS NOT NULL) SELECT block_no, row_no, sum(half) AS half_area FROM h GROUP BY ALL")
+@query("WITH a AS (SELECT block_no, row_no, count(*) * 10 AS area, lead(row_no) OVER (PARTITION BY block_no ORDER BY row_no) AS other FROM vines GROUP BY block_no, row_no), h AS (SELECT block_no, row_no, 0.5 * area AS half FROM a UNION ALL SELECT block_no, other, 0.5 * area FROM a WHERE other IS NOT NULL) SELECT block_no, row_no, CAST(sum(half) AS DOUBLE) AS half_area FROM h GROUP BY ALL")
 def half_shares(spark, sf_dir):
     strips = view(spark, sf_dir, "vines").groupBy("block_no", "row_no").agg((F.count("*") * 10).alias("area"))
     strips = strips.withColumn("other", F.lead("row_no").over(Window.partitionBy("block_no").orderBy("row_no")))

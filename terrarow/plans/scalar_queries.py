@@ -28,7 +28,7 @@ def image_keys(spark, sf_dir):
     return _named(spark, sf_dir).select("seg_id", F.explode(grid.image_keys(path, "field")).alias("image_key"))
 
 
-@query("SELECT seg_id, round(628992.0 + c * 51.2, 4) AS ulx, round(5221222.4 - r * 51.2, 4) AS uly, round(628992.0 + c * 51.2 + (len_cm % 2048) * 0.025, 4) AS mx, round(5221222.4 - r * 51.2 - angle_deg * 0.025, 4) AS my FROM segments")
+@query("SELECT seg_id, CAST(round(628992.0 + c * 51.2, 4) AS DOUBLE) AS ulx, CAST(round(5221222.4 - r * 51.2, 4) AS DOUBLE) AS uly, CAST(round(628992.0 + c * 51.2 + (len_cm % 2048) * 0.025, 4) AS DOUBLE) AS mx, CAST(round(5221222.4 - r * 51.2 - angle_deg * 0.025, 4) AS DOUBLE) AS my FROM segments")
 def pixel_to_map(spark, sf_dir):
     px, py = F.col("len_cm") % 2048, F.col("angle_deg")
     return view(spark, sf_dir, "segments").select("seg_id", grid.tile_x(F.col("c")).alias("ulx"), grid.tile_y(F.col("r")).alias("uly"), grid.map_x(F.col("c"), px).alias("mx"), grid.map_y(F.col("r"), py).alias("my"))
@@ -41,7 +41,7 @@ def map_to_pixel(spark, sf_dir):
     return view(spark, sf_dir, "segments").select("seg_id", grid.pixel_x(F.col("c"), x).alias("px"), grid.pixel_y(F.col("r"), y).alias("py"), tile(0.37).alias("tc"), tile(0.31).alias("tr"))
 
 
-@query("SELECT box_id, round(0.025 * xtl + 0.001 * ytl + 628992.0, 3) AS x, round(0.002 * xtl - 0.025 * ytl + 5221222.4, 3) AS y, round(least(greatest(xbr - 10.0, 0.0), 2048.0), 1) AS cx FROM boxes")
+@query("SELECT box_id, CAST(round(0.025 * xtl + 0.001 * ytl + 628992.0, 3) AS DOUBLE) AS x, CAST(round(0.002 * xtl - 0.025 * ytl + 5221222.4, 3) AS DOUBLE) AS y, CAST(round(least(greatest(xbr - 10.0, 0.0), 2048.0), 1) AS DOUBLE) AS cx FROM boxes")
 def affine_boxes(spark, sf_dir):
     x, y = grid.affine(F.col("xtl"), F.col("ytl"), tuple(F.lit(v) for v in (0.025, 0.001, 628992.0, 0.002, -0.025, 5221222.4)))
     return view(spark, sf_dir, "boxes").select("box_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), grid.clamp_pixel(F.col("xbr") - 10.0).alias("cx"))
@@ -77,7 +77,7 @@ def _ring(spark, sf_dir):
     return b.withColumn("ring", geom.box_ring(*(F.col(c) for c in ("xtl", "ytl", "xbr", "ybr"))))
 
 
-@query("SELECT box_id, round(2.0 * (xbr - xtl) + (ybr - ytl), 2) AS open_len, CAST((xbr - xtl) * (ybr - ytl) AS DOUBLE) AS area, CAST((xbr - xtl) * (ybr - ytl) - 4 AS DOUBLE) AS holed, CAST(xtl AS DOUBLE) AS xmin, CAST(ybr AS DOUBLE) AS ymax, (xtl + xbr) / 2.0 AS mx, (ytl + ybr) / 2.0 AS my, 5 AS closed_n FROM boxes")
+@query("SELECT box_id, CAST(2.0 * (xbr - xtl) + (ybr - ytl) AS DOUBLE) AS open_len, CAST((xbr - xtl) * (ybr - ytl) AS DOUBLE) AS area, CAST((xbr - xtl) * (ybr - ytl) - 4 AS DOUBLE) AS holed, CAST(xtl AS DOUBLE) AS xmin, CAST(ybr AS DOUBLE) AS ymax, (xtl + xbr) / 2.0 AS mx, (ytl + ybr) / 2.0 AS my, 5 AS closed_n FROM boxes")
 def ring_measures(spark, sf_dir):
     ring = F.col("ring")
     hole = geom.box_ring(F.col("xtl") + 1, F.col("ytl") + 1, F.col("xtl") + 3, F.col("ytl") + 3)

@@ -184,3 +184,37 @@ def test_entry_and_registry(spark):
 @pytest.mark.parametrize("bad", ["", "no tile"])
 def test_names_without_tile(spark, bad):
     assert one(spark, grid.tile_row(F.lit(bad)).alias("r")).r is None
+
+
+def test_interval_and_box_pairs_match_brute_force(spark):
+    g = np.random.default_rng(4)
+    p = [(i, int(a), int(a + w), int(b), int(b + h)) for i, (a, w, b, h) in enumerate(zip(g.integers(-200, 200, 120), g.integers(1, 90, 120), g.integers(-200, 200, 120), g.integers(1, 90, 120)))]
+    a = spark.createDataFrame(p, "i int, xtl int, xbr int, ytl int, ybr int")
+    b = spark.createDataFrame(p, "j int, xtl_b int, xbr_b int, ytl_b int, ybr_b int")
+    meet = lambda p0, p1, q0, q1: p0 < q1 and q0 < p1
+    lines = [(r.i, r.j) for r in spatial.interval_pairs(a, b, "xtl", "xbr", "xtl_b", "xbr_b", 32).collect()]
+    want = {(x[0], y[0]) for x in p for y in p if meet(x[1], x[2], y[1], y[2])}
+    assert len(lines) == len(want) and set(lines) == want
+    boxes = [(r.i, r.j) for r in spatial.box_pairs(a, b, 32).collect()]
+    want = {(x[0], y[0]) for x in p for y in p if meet(*x[1:3], *y[1:3]) and meet(*x[3:], *y[3:])}
+    assert len(boxes) == len(want) and set(boxes) == want
+
+
+def test_shortest_paths(spark):
+    edges = spark.createDataFrame([(0, 1, 4), (0, 2, 1), (2, 1, 2), (1, 3, 5), (8, 9, 1)], "a bigint, b bigint, w bigint")
+    got = {r.id: r.dist for r in graph.shortest_paths(edges, spark.range(1)).collect()}
+    assert got == {0: 0, 1: 3, 2: 1, 3: 8}
+
+
+def test_greedy_matching_and_links(spark):
+    pairs = spark.createDataFrame([(1, 1, 7, 2.0), (1, 1, 8, 1.0), (1, 2, 8, 1.5), (1, 2, 7, 3.0)], "g int, l int, r int, cost double")
+    assert {(r.l, r.r) for r in greedy.one_to_one(pairs, "g", "l", "r", "cost").collect()} == {(1, 8), (2, 7)}
+    links = spark.createDataFrame([(1, 1, 1, 2, 0, 1.0), (1, 2, 1, 3, 0, 2.0), (1, 3, 1, 1, 0, 3.0), (1, 2, 0, 4, 0, 0.5)], "g int, a int, a_end int, b int, b_end int, cost double")
+    assert {(r.a, r.b) for r in greedy.link_ends(links, "g").collect()} == {(2, 4), (2, 3)}
+
+
+def test_merging_and_parallel_rows(spark):
+    spans = spark.createDataFrame([(1, 1, 0.0, 0, 10, 1.0), (1, 2, 0.3, 10, 20, 1.0), (1, 3, 5.0, 0, 10, 1.0)], "g int, id int, off double, s0 int, s1 int, weight double")
+    assert {r.id: r.merged for r in greedy.merge_collinear(spans, "g", 0.4, 1).collect()} == {1: 1, 2: 1, 3: 3}
+    pairs = spark.createDataFrame([(1, 1, 2, 3.0, 2.0), (1, 2, 3, 2.0, 1.0)], "g int, a int, b int, density_a double, density_b double")
+    assert [r.dropped for r in greedy.drop_parallel(pairs, "g").collect()] == [2]

@@ -226,7 +226,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     rows = stored(_anchor_rows(docs, length, gram), "anchors")
     # aggregates are stored before they are joined, so both sides of a join are plain exchanges that can be split
     shared = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
-    rows = stored(rows.join(shared, "key"), "shared-anchors")
+    # by document, else one file would hold all rows of a frequent context, and no later exchange could split them
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(rows.join(shared, "key").repartition(n, "rid"), "shared-anchors")
     contexts = stored(rows.groupBy("key", "ctx").agg(F.count("*").alias("cnt"), F.min(F.struct("rid", "at", "before", "span")).alias("r")), "contexts")
     open_keys = contexts.groupBy("key").agg(F.count("*").alias("n_ctx"), F.min("cnt").alias("least")).where("n_ctx > 1 AND least = 1").select("key", "n_ctx")
     open_keys = stored(open_keys, "open-keys")
@@ -243,7 +245,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         yield out
 
     known = stored(map_rows(docs.join(wanted, "rid").select("rid", "text", "a"), cut, "key bigint, cnt bigint, n_ctx bigint, rid bigint, at bigint, before int, span int, bytes binary"), "context-bytes")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = known.where(F.col("n_ctx") <= GROUP).repartition(n, "key").sortWithinPartitions("key")
     once = _repeats_in_groups(small, length).union(_repeats_by_halving(known.where(F.col("n_ctx") > GROUP), length))
     lo = F.col("at") - F.col("before")

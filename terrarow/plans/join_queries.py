@@ -24,11 +24,13 @@ def renamed(df, suffix, *keep):
 def linked_segments(spark, sf_dir):
     """Candidate links between segments of a tile and its eight neighbours, of nearly one direction."""
     s = placed(view(spark, sf_dir, "segments"))
-    far = spatial.neighbour_tiles(s, "r", "c", spatial.AROUND)
-    other = renamed(s, "_b").select("seg_id_b", "angle_deg_b", "len_cm_b", F.col("r_b").alias("nr"), F.col("c_b").alias("nc"))
+    # a tile may hold many segments: the lengths, 60 apart at most, make a second key
+    cell = F.floor(F.col("len_cm") / 60).cast("int")
+    far = spatial.neighbour_tiles(s.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))), "r", "c", spatial.AROUND)
+    other = renamed(s, "_b").select("seg_id_b", "angle_deg_b", "len_cm_b", F.col("r_b").alias("nr"), F.col("c_b").alias("nc"), F.floor(F.col("len_cm_b") / 60).cast("int").alias("cell"))
     d = F.abs(F.col("angle_deg") - F.col("angle_deg_b"))
     turn = F.least(d, 180 - d)
-    return far.join(other, ["nr", "nc"]).where((F.col("seg_id") < F.col("seg_id_b")) & (turn <= 8) & (F.abs(F.col("len_cm") - F.col("len_cm_b")) <= 60)).select(F.col("seg_id").alias("a"), F.col("seg_id_b").alias("b"), turn.alias("turn"))
+    return far.join(other, ["nr", "nc", "cell"]).where((F.col("seg_id") < F.col("seg_id_b")) & (turn <= 8) & (F.abs(F.col("len_cm") - F.col("len_cm_b")) <= 60)).select(F.col("seg_id").alias("a"), F.col("seg_id_b").alias("b"), turn.alias("turn"))
 
 
 @query(f"WITH {_SEGS} SELECT a.seg_id AS a, b.seg_id AS b FROM s a JOIN s b ON (b.r = a.r AND b.c = a.c + 1 OR b.r = a.r + 1 AND b.c = a.c) WHERE abs(a.x - b.x) <= 800 AND abs(a.y - b.y) <= 800")

@@ -13,10 +13,11 @@ from .join_queries import _point_edges, placed, strip_pairs
 
 @query("""WITH p AS (SELECT tile_no, box_id, xtl AS x, ytl AS y FROM boxes), d AS (SELECT a.tile_no, a.box_id, b.box_id AS o, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, degrees(atan2(b.y - a.y, b.x - a.x)) AS g FROM p a JOIN p b ON a.tile_no = b.tile_no AND a.box_id <> b.box_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 7225),
  f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tile_no, box_id ORDER BY d2, o) AS i FROM d) WHERE i <= 5 AND d2 >= 625), b AS (SELECT tile_no, CAST(floor(round(CASE WHEN g < 0 THEN g + 180 WHEN g >= 180 THEN g - 180 ELSE g END, 6)) AS INTEGER) % 180 AS bin, count(*) AS w FROM f GROUP BY ALL), k AS (SELECT unnest([-2, -1, 0, 1, 2]) AS o, unnest([1, 2, 4, 2, 1]) AS k), s AS (SELECT tile_no, (bin + o + 180) % 180 AS bin, sum(w * k) AS v FROM b, k GROUP BY ALL), t AS (SELECT tile_no, bin, row_number() OVER (PARTITION BY tile_no ORDER BY v DESC, bin) AS i FROM s)
- SELECT tile_no, bin + 0.5::DOUBLE AS angle_deg FROM t WHERE i = 1""")
+ , g AS (SELECT tile_no, count(*) AS n, degrees(0.5 * atan2(2 * covar_pop(xtl, ytl), var_pop(xtl) - var_pop(ytl))) AS d FROM boxes GROUP BY 1)
+ SELECT g.tile_no, round(CASE WHEN n < 5 THEN 0.0::DOUBLE ELSE coalesce(bin + 0.5::DOUBLE, CASE WHEN d < 0 THEN d + 180 ELSE d END) END, 6) AS angle_deg FROM g LEFT JOIN t ON g.tile_no = t.tile_no AND i = 1""")
 def row_angles(spark, sf_dir):
     b = view(spark, sf_dir, "boxes")
-    return field.row_angles(b, "tile_no", "box_id", "xtl", "ytl")
+    return field.row_angles(b, "tile_no", "box_id", "xtl", "ytl").withColumn("angle_deg", F.round("angle_deg", 6))
 
 
 @query("WITH n AS (SELECT block_no, strip_id AS row_a, t_cm, s0_cm, s1_cm, lead(strip_id) OVER w AS row_b, lead(t_cm) OVER w AS t2, lead(s0_cm) OVER w AS a2, lead(s1_cm) OVER w AS b2 FROM strips WINDOW w AS (PARTITION BY block_no ORDER BY t_cm, strip_id)), q AS (SELECT block_no, row_a, row_b, t_cm + least(12.0, 0.25 * (t2 - t_cm)) AS t0, t2 - least(12.0, 0.25 * (t2 - t_cm)) AS t1, greatest(s0_cm, a2) AS lo, least(s1_cm, b2) AS hi FROM n WHERE t2 - t_cm >= 25) SELECT block_no, row_a, row_b, CAST(t0 AS DOUBLE) AS t0, CAST(t1 AS DOUBLE) AS t1, lo, hi, CAST((t1 - t0) * (hi - lo) AS DOUBLE) AS area FROM q WHERE hi - lo >= 25 AND (t1 - t0) * (hi - lo) >= 100")
@@ -133,7 +134,8 @@ def snapped_targets(spark, sf_dir):
     """Targets at their nearest node within 5 m that is connected to the start; the first target of a node stands for it."""
     labels = graph.components(_point_edges(spark, sf_dir))
     start = labels.where("id = 0").select("label")
-    p = view(spark, sf_dir, "points").select("pid", "x_cm", "y_cm").join(labels.join(start, "label", "left_semi"), F.col("pid") == F.col("id"), "left_semi")
+    reached = labels.join(start, "label", "left_semi").select("id").union(spark.range(1)).distinct()
+    p = view(spark, sf_dir, "points").select("pid", "x_cm", "y_cm").join(reached, F.col("pid") == F.col("id"), "left_semi")
     t = view(spark, sf_dir, "boxes").select("box_id", "xtl", "ytl")
     near = spatial.nearest(t, p, "box_id", "xtl", "ytl", "x_cm", "y_cm", "pid", 500)
     return near.groupBy(F.col("pid").alias("node")).agg(F.min("box_id").alias("target"), F.count("*").alias("targets"))

@@ -28,7 +28,7 @@ from .textual import mix
 DIMS, ORDER = 64, 16
 SEQ_LEN, END_ID = 2048, 1
 #: Chunks that one of a worker's two generations of remembered ids holds, at most.
-MAX_CACHE = 350_000
+MAX_CACHE = 450_000
 #: Token bytes that one packing task takes, about.
 TASK_BYTES = 48 << 20
 

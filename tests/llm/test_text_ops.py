@@ -250,6 +250,20 @@ def test_secret_scan_and_redaction(spark):
     assert secret_cnn.scan(frame(spark, []), net).count() == 0
 
 
+def test_keys_deep_in_a_run_are_found(spark):
+    path = "srv/archive/reports/yearly/drafts/section/appendix/tables/figures/notes/index/pages/"[:80]
+    key = "ghp_a8Kd02LmQz7RtYw5XcVb91NhGf36JsPuEo4T"
+    texts = [f"look at {path}/{key} for it", f"look at {path}/{path} for it", f"look at {path}/{key}/{path} for it"]
+    docs = frame(spark, texts)
+    net = secret_cnn.fit(docs)
+    rows = {r.doc_id: r.spans for r in secret_cnn.scan(docs, net).collect()}
+    assert rows == {0: f"model:8:{len(texts[0]) - 7}", 1: "", 2: f"model:8:{len(texts[2]) - 7}"}
+    assert not any(key in r.text for r in secret_cnn.redact(docs, net).collect())
+    text = prose(3, 400).replace(" ", "/")
+    seen = [(w[secret_cnn.LEFT : secret_cnn.LEFT + n], at) for (w, n), at in zip(secret_cnn.windows_of(text, 0, len(text)), secret_cnn.starts(0, len(text)))]
+    assert all(text[at : at + len(w)] == w for w, at in seen) and {at + i for w, at in seen for i in range(len(w))} == set(range(len(text)))
+
+
 # near duplicates
 
 

@@ -9,8 +9,9 @@ the benchmark has similarity 0 to all items, so its fingerprint isn't computed.
 
 Whole texts are scanned in one pass and nothing is shuffled; the benchmark goes to the tasks in blocks of BLOCK
 items, one pass per block. Edge cases: null and empty texts and items have no words and never match; an item of
-fewer than five words is one shingle of them all and must occur as it is; repeated items each match; a document
-shorter than an item is one window; an empty benchmark or table gives no rows; extra columns are ignored.
+fewer than five words is one shingle of them all and must occur as it is; items are told apart by id and text, so equal
+texts of different ids and different texts of one id each match, and equal rows count once; items without an id count
+too and are reported as null; a document shorter than an item is one window; an empty benchmark or table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ class _Size:
 
     n_words: int
     shingle: int
-    ids: list[int]
+    ids: list[int]  # running numbers of the items
     prints: np.ndarray
     tables: list[tuple[np.ndarray, np.ndarray]]  # by block: offsets by value, item numbers
 
@@ -75,11 +76,12 @@ def _block_table(values: np.ndarray, bits: int, reach: int) -> tuple[np.ndarray,
 class BenchmarkIndex:
     """Item shingles with their weights, and a multi-index over the items' fingerprints for each item size."""
 
-    def __init__(self, items: list[tuple[int, str | None]], radius: int = RADIUS, similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int | None, str | None]], radius: int = RADIUS, similarity: float = SIMILARITY):
         self.radius, self.similarity = radius, similarity
         words = [(i, normal_words(t)) for i, t in items]
-        words = sorted((i, w) for i, w in ((i, w.tolist()) for i, w in words) if w)
-        found = [(i, len(w), min(SHINGLE, len(w)), shingle_hashes(np.array(w, np.uint64), SHINGLE)) for i, w in words]
+        words = sorted(((i, w) for i, w in ((i, w.tolist()) for i, w in words) if w), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        self.item_ids = [i for i, _ in words]
+        found = [(k, len(w), min(SHINGLE, len(w)), shingle_hashes(np.array(w, np.uint64), SHINGLE)) for k, (_, w) in enumerate(words)]
         df = Counter(h for *_, s in found for h in set(s.tolist()))
         self.top = 4 * math.log(2 + len(found))
         self.weight = {h: max(1, round(4 * math.log(1 + (1 + len(found)) / n))) for h, n in df.items()}
@@ -116,8 +118,8 @@ class BenchmarkIndex:
         all_ = sum(n * self.weight[h] for h, n in a.items()) + sum(n * self.weight.get(h, self.default) for h, n in b.items()) - both
         return both / all_ if all_ else 0.0
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, float]]:
-        """(item, first word, words, similarity) of the best window of each item that a text holds."""
+    def matches(self, text: str | None) -> list[tuple[int | None, int, int, float]]:
+        """(item's id, first word, words, similarity) of the best window of each item that a text holds."""
         words = normal_words(text)
         best: dict[int, tuple[float, int, int]] = {}
         for k in self.shingle_sizes:
@@ -130,7 +132,7 @@ class BenchmarkIndex:
             for s in self.sizes:
                 if s.shingle == k:
                     self._match_size(s, shingles, hits, best)
-        return [(i, at, n, sim) for i, (sim, at, n) in sorted(best.items())]
+        return [(self.item_ids[i], at, n, sim) for i, (sim, at, n) in sorted(best.items())]
 
     def _match_size(self, s: _Size, shingles: np.ndarray, hits: np.ndarray, best: dict) -> None:
         size = min(s.n_words - s.shingle + 1, len(shingles))
@@ -171,11 +173,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarit
 
 
 def _indexes(benchmark: DataFrame, radius: int, similarity: float) -> list[BenchmarkIndex]:
-    rows = benchmark.where("item_id IS NOT NULL").select("item_id", "text").distinct()
+    rows = benchmark.select("item_id", "text").distinct()
     n = rows.count()
     parts = max(1, -(-n // BLOCK))
     # a block's items come to the driver one block at a time
-    return [BenchmarkIndex([(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).collect()], radius, similarity) for p in range(parts)]
+    return [BenchmarkIndex([(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()], radius, similarity) for p in range(parts)]
 
 
 def _scan(docs: DataFrame, index: BenchmarkIndex) -> DataFrame:

@@ -219,6 +219,15 @@ def test_empty_benchmark(spark):
     assert decontaminate.leaks(frame(spark, ODD), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def test_items_of_one_id_and_without_an_id(spark):
+    a, b, c = (prose(700 + i, 25) for i in range(3))
+    items = spark.createDataFrame([(1, a), (1, b), (None, c), (None, None), (1, a), (2, a)], "item_id bigint, text string")
+    docs = frame(spark, [f"{prose(i, 30)} {t} {prose(9 + i, 30)}" for i, t in enumerate((a, b, c))] + [prose(5, 80)])
+    got = sorted((r.doc_id, r.item_id or 0, r.start_word, r.similarity) for r in decontaminate.leaks(docs, items).collect())
+    assert got == [(0, 1, 30, 1.0), (0, 2, 30, 1.0), (1, 1, 30, 1.0), (2, 0, 30, 1.0)]
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, items).collect()] == [3]
+
+
 # secret scans
 
 

@@ -4,11 +4,12 @@ Words are runs of ASCII letters and digits (lower-cased) and of non-ASCII charac
 each size of item, the item-sized windows of a document get 64-bit SimHashes of their weighted shingles. Five blocks
 of 13 or 12 bits index the items by every value within floor(RADIUS / 5) bits of theirs, so by the pigeonhole
 principle every item within RADIUS bits of a window is found. Candidates are verified by the exact weighted Jaccard
-similarity of their shingle multisets; shingles that many items share weigh less. A window without any shingle of
+similarity of their shingle multisets; shingles that many items share weigh less. Items are counted over the whole
+benchmark, so the weights don't depend on the blocks. A window without any shingle of
 the benchmark has similarity 0 to all items, so its fingerprint isn't computed.
 
-Whole texts are scanned in one pass and nothing is shuffled; the benchmark goes to the tasks in blocks of BLOCK
-items, one pass per block. Edge cases: null and empty texts and items have no words and never match; an item of
+Whole texts are scanned in one pass and no document is shuffled; the benchmark goes to the tasks in blocks of BLOCK
+items, one pass per block, each with the counts of all shingles that several items share (12 bytes a shingle). Edge cases: null and empty texts and items have no words and never match; an item of
 fewer than five words is one shingle of them all and must occur as it is; items are told apart by id and text, so equal
 texts of different ids and different texts of one id each match, and equal rows count once; items without an id count
 too and are reported as null; a document shorter than an item is one window; an empty benchmark or table gives no rows; extra columns are ignored.
@@ -73,24 +74,37 @@ def _block_table(values: np.ndarray, bits: int, reach: int) -> tuple[np.ndarray,
     return np.searchsorted(near[order], np.arange((1 << bits) + 1)), item[order].astype(np.int32)
 
 
+@dataclass
+class Shared:
+    """The number of items that have words, and the sorted shingles that several of them hold with their counts."""
+
+    n_items: int
+    shingles: np.ndarray
+    counts: np.ndarray
+
+
 class BenchmarkIndex:
     """Item shingles with their weights, and a multi-index over the items' fingerprints for each item size."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], radius: int = RADIUS, similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int | None, str | None]], radius: int = RADIUS, similarity: float = SIMILARITY, shared: Shared | None = None):
         self.radius, self.similarity = radius, similarity
         words = [(i, normal_words(t)) for i, t in items]
         words = sorted(((i, w) for i, w in ((i, w.tolist()) for i, w in words) if w), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         self.item_ids = [i for i, _ in words]
         found = [(k, len(w), min(SHINGLE, len(w)), shingle_hashes(np.array(w, np.uint64), SHINGLE)) for k, (_, w) in enumerate(words)]
-        df = Counter(h for *_, s in found for h in set(s.tolist()))
-        self.top = 4 * math.log(2 + len(found))
-        self.weight = {h: max(1, round(4 * math.log(1 + (1 + len(found)) / n))) for h, n in df.items()}
-        self.default = max(1, round(self.top))
-        self.sorted = np.array(sorted(self.weight), np.uint64)
-        self.sorted_weight = np.array([self.weight[h] for h in self.sorted.tolist()], np.int32)
+        if shared is None:  # the items are the whole benchmark
+            df = Counter(h for *_, s in found for h in set(s.tolist()))
+            several = sorted(h for h, n in df.items() if n > 1)
+            shared = Shared(len(found), np.array(several, np.uint64), np.array([df[h] for h in several], np.int32))
+        # a shingle of one item weighs as much as one of none
+        self.default = max(1, round(4 * math.log(2 + shared.n_items)))
+        self.shared = shared.shingles
+        self.shared_weight = np.maximum(1, np.rint(4 * np.log(1 + (1 + shared.n_items) / shared.counts))).astype(np.int32)
+        self.sorted = np.unique(np.concatenate([s for *_, s in found])) if found else np.zeros(0, np.uint64)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.sorted & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.counts = {i: Counter(s.tolist()) for i, _, _, s in found}
+        self.totals = {i: int(self.weights(s).sum()) for i, _, _, s in found}
         self.sizes = []
         for n_words in sorted({n for _, n, _, _ in found}):
             own = [(i, k, s) for i, n, k, s in found if n == n_words]
@@ -108,14 +122,17 @@ class BenchmarkIndex:
         return at[self.sorted[place] == shingles[at]]
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.sorted, shingles), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == shingles, self.sorted_weight[at], self.default).astype(np.int32)
+        if not len(self.shared):
+            return np.full(len(shingles), self.default, np.int32)
+        at = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
+        return np.where(self.shared[at] == shingles, self.shared_weight[at], self.default).astype(np.int32)
 
     def exact(self, item: int, window: list[int]) -> float:
         """Weighted Jaccard similarity of an item's and a window's shingle multisets."""
         a, b = self.counts[item], Counter(window)
-        both = sum(min(n, b[h]) * self.weight[h] for h, n in a.items() if h in b)
-        all_ = sum(n * self.weight[h] for h, n in a.items()) + sum(n * self.weight.get(h, self.default) for h, n in b.items()) - both
+        weight = self.weights(np.fromiter(b, np.uint64, len(b))).tolist()
+        both = sum(min(n, a[h]) * w for (h, n), w in zip(b.items(), weight) if h in a)
+        all_ = self.totals[item] + sum(n * w for n, w in zip(b.values(), weight)) - both
         return both / all_ if all_ else 0.0
 
     def matches(self, text: str | None) -> list[tuple[int | None, int, int, float]]:
@@ -176,8 +193,28 @@ def _indexes(benchmark: DataFrame, radius: int, similarity: float) -> list[Bench
     rows = benchmark.select("item_id", "text").distinct()
     n = rows.count()
     parts = max(1, -(-n // BLOCK))
+    shared = _shared(rows)
     # a block's items come to the driver one block at a time
-    return [BenchmarkIndex([(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()], radius, similarity) for p in range(parts)]
+    return [BenchmarkIndex([(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()], radius, similarity, shared) for p in range(parts)]
+
+
+def _shared(rows: DataFrame) -> Shared:
+    """Counted over the whole benchmark; a null shingle stands for the item itself."""
+
+    def count(batch):
+        out: list[int | None] = []
+        for t in batch.column(0):
+            words = normal_words(t.as_py())
+            if len(words):
+                out += [None, *set(shingle_hashes(words, SHINGLE).view(np.int64).tolist())]
+        yield {"shingle": out}
+
+    several = map_rows(rows.select("text"), count, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1 OR shingle IS NULL").toArrow()
+    known = several.filter(several.column("shingle").is_valid())
+    shingles = known.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(shingles)
+    items = several.filter(several.column("shingle").is_null()).column("n").to_pylist()
+    return Shared(sum(items), shingles[order], known.column("n").to_numpy()[order].astype(np.int32))
 
 
 def _scan(docs: DataFrame, index: BenchmarkIndex) -> DataFrame:

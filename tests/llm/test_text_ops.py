@@ -228,6 +228,25 @@ def test_items_of_one_id_and_without_an_id(spark):
     assert [r.doc_id for r in decontaminate.without_leaks(docs, items).collect()] == [3]
 
 
+def test_blocks_of_the_benchmark_agree(spark, monkeypatch):
+    common = [prose(800 + i, 12) for i in range(3)]
+    items = [(i, f"{prose(820 + i, 18)} {common[i % 3]}") for i in range(12)]
+    texts = []
+    for i, (_, t) in enumerate(items):
+        w = t.split()
+        w[i] = "changed"
+        texts += [f"{prose(i, 20)} {' '.join(w)} {prose(60 + i, 20)}", f"{' '.join(w[i:30])} {common[(i + 1) % 3]}"]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    found = lambda: {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.similarity) for r in decontaminate.leaks(frame(spark, texts), benchmark, similarity=0.3).collect()}
+    whole = found()
+    assert len(decontaminate._indexes(benchmark, 19, 0.8)) == 1 and len(whole) >= 12
+    monkeypatch.setattr(decontaminate, "BLOCK", 4)
+    assert len(decontaminate._indexes(benchmark, 19, 0.8)) == 3 and found() == whole
+    one, own = decontaminate.BenchmarkIndex(items), decontaminate._indexes(benchmark, 19, 0.8)
+    shingles = np.concatenate([near_dedup.shingle_hashes(decontaminate.normal_words(t), 5) for t in texts])
+    assert all((one.weights(shingles) == i.weights(shingles)).all() for i in own) and len(set(one.weights(shingles).tolist())) > 1
+
+
 # secret scans
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -348,6 +349,11 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, c in got.items() if i == c}
 
 
+def test_samples_drop_few_pairs_of_the_similarity_wanted():
+    n, p = near_dedup.SAMPLES, near_dedup.SIMILARITY
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_dedup.LEAST)) < 3e-5
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 

@@ -9,7 +9,7 @@ from terrarow.storage import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, label: the smallest id of each node's component. edges: a, b long; nodes without edges are not listed.
+    """id, label: the smallest id of each node's component. edges: a, b, long or binary; nodes without edges are not listed.
 
     Each round takes the smallest label among a node's neighbours, then jumps to its label's label; rounds grow with
     the logarithm of the longest path. Only labels move; a node with any number of edges costs one row per task, as

@@ -354,6 +354,18 @@ def test_samples_drop_few_pairs_of_the_similarity_wanted():
     assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_dedup.LEAST)) < 3e-5
 
 
+def test_unlike_texts_of_one_id(spark):
+    a, b, c = (prose(300 + i, 120) for i in range(3))
+    rows = [(5, a), (5, b), (5, b), (7, a + " end"), (3, b + " end"), (-2, c), (9, c + " end"), (5, None), (5, ""), (6, None), (None, a)]
+    docs = frame(spark, []).union(spark.createDataFrame([(i, t, None, "s", None, "r", "k", "l") for i, t in rows], SCHEMA))
+    got = collections.Counter((r.doc_id, r.class_id) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == {(5, 5): 3, (5, 3): 2, (7, 5): 1, (3, 3): 1, (-2, -2): 1, (9, -2): 1, (6, 6): 1, (None, None): 1}
+    kept = near_dedup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    want = [(5, a), (3, b + " end"), (-2, c), (5, None), (5, ""), (6, None), (None, a)]
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter(want)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 

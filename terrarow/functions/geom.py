@@ -88,7 +88,10 @@ def representative(kind: Column, line: Column) -> Column:
 
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
-    """Whether a ring holds a point, by the parity of crossings of a ray to the right."""
+    """Whether a ring holds a point, by the parity of crossings of a ray to the right.
+
+    Of a box the left and lower edges belong to it, the right and upper ones don't.
+    """
 
     def crosses(p):
         ay, by, ax, bx = p["a"]["y"], p["b"]["y"], p["a"]["x"], p["b"]["x"]

@@ -27,18 +27,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """src, id, dist: smallest sums of w from each source, by relaxing the frontier until nothing improves.
 
-    edges: a, b, w (used both ways); sources: id. Rounds bound the number of edges of a path.
+    edges: a, b, w (used both ways); sources: id; w is 0 or more. There are as many rounds as the
+    longest of these paths has edges, and one.
     """
     both = stored(edges.select("a", "b", "w").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "edges")
     known = stored(sources.select(F.col("id").alias("src"), "id", F.lit(0).cast("bigint").alias("dist"), F.lit(True).alias("new")), "paths")
-    for _ in range(rounds):
+    while True:
         step = known.where("new").join(both, known.id == both.a).select("src", F.col("b").alias("id"), (F.col("dist") + F.col("w")).alias("dist"))
         merged = known.select("src", "id", "dist", F.lit(0).alias("step")).union(step.select("src", "id", "dist", F.lit(1).alias("step")))
         best = merged.groupBy("src", "id").agg(F.min("dist").alias("dist"), F.min(F.when(F.col("step") == 0, F.col("dist"))).alias("was"))
         known = stored(best.select("src", "id", "dist", (F.col("was").isNull() | (F.col("dist") < F.col("was"))).alias("new")), "paths")
         if not known.where("new").limit(1).count():
-            break
-    return known.select("src", "id", "dist")
+            return known.select("src", "id", "dist")

@@ -206,6 +206,18 @@ def test_shortest_paths(spark):
     assert got == {0: 0, 1: 3, 2: 1, 3: 8}
 
 
+def test_shortest_paths_of_many_edges(spark):
+    edges = spark.range(70).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1).cast("bigint").alias("w"))
+    assert {r.id: r.dist for r in graph.shortest_paths(edges, spark.range(1)).collect()} == {i: i for i in range(71)}
+
+
+def test_points_on_the_edges_of_a_box(spark):
+    ring = geom.box_ring(F.lit(0), F.lit(0), F.lit(4), F.lit(2))
+    points = {(0, 1): True, (2, 0): True, (0, 0): True, (4, 1): False, (2, 2): False, (4, 2): False}
+    rows = spark.createDataFrame(list(points), "x int, y int")
+    assert {(r.x, r.y): r.i for r in rows.select("x", "y", geom.contains(ring, F.col("x"), F.col("y")).alias("i")).collect()} == points
+
+
 def test_greedy_matching_and_links(spark):
     pairs = spark.createDataFrame([(1, 1, 7, 2.0), (1, 1, 8, 1.0), (1, 2, 8, 1.5), (1, 2, 7, 3.0)], "g int, l int, r int, cost double")
     assert {(r.l, r.r) for r in greedy.one_to_one(pairs, "g", "l", "r", "cost").collect()} == {(1, 8), (2, 7)}

@@ -7,13 +7,15 @@ stretch of the curve without gaps: documents are concatenated and cut every seq_
 partition's end is cut at powers of two, so it needs no padding either.
 
 Edge cases: null text is empty and still has its end token; equal rows are packed each; an empty table gives no
-sequence; extra columns are ignored. A document of any length spans as many sequences as it needs.
+sequence; rows that share a doc_id are packed each, so their pieces share it too; rows without a doc_id are packed with
+a null one; extra columns are ignored. A document of any length spans as many sequences as it needs.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 from array import array
 
@@ -27,8 +29,11 @@ from .textual import mix
 
 DIMS, ORDER = 64, 16
 SEQ_LEN, END_ID = 2048, 1
-#: Chunks that one of a worker's two generations of remembered ids holds, at most.
-MAX_CACHE = 450_000
+#: Chunks that one of a worker's two generations of remembered ids holds, at most; bytes that they take, about; and
+#: characters of a chunk beyond which it isn't remembered (unspaced scripts, encoded data).
+MAX_CACHE, CACHE_BYTES, LONG_CHUNK = 450_000, 96 << 20, 64
+#: Bytes of one remembered chunk beside its characters and ids, about.
+_ENTRY_BYTES = 160
 #: Token bytes that one packing task takes, about.
 TASK_BYTES = 48 << 20
 
@@ -55,27 +60,40 @@ class _Ids(dict):
 
     def __init__(self, make, old):
         super().__init__({"": b""})
-        self.make, self.old = make, old
+        self.make, self.old, self.size = make, old, 0
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
             word = chunk.rstrip(_TAIL)
             # a plain ending is looked up apart from its word
-            if word != chunk and word and word[-1].isalnum() and "'" not in word and "<" not in word:
+            if word != chunk and word and _ends_in_letter(word) and "'" not in word and "<" not in word:
                 ids = self[word] + self[chunk[len(word) :]]
             else:
                 ids = self.make(chunk)
-        self[chunk] = ids
+        if len(chunk) <= LONG_CHUNK:
+            self[chunk] = ids
+            self.size += _ENTRY_BYTES + len(chunk.encode("utf-8", "surrogatepass")) + len(ids)
         return ids
 
+    def full(self) -> bool:
+        return len(self) > MAX_CACHE or self.size > CACHE_BYTES
+
+
+def _ends_in_letter(word: str) -> bool:
+    """Whether a word ends in a letter or digit also after composition and lower case; marks join what follows them."""
+    last = word[-1]
+    if last.isascii():
+        return last.isalnum()
+    return unicodedata.category(unicodedata.normalize("NFC", word).lower()[-1])[0] in "LN"
+
 
 class ChunkTokenizer:
     """Token ids of a text as packed bytes, from remembered ids of its chunks between ASCII white space.
 
     Right for tokenizers that drop white space, never join across it, and part letters and digits from other
     characters. Ids are two bytes where they fit, else four. A full generation becomes the old one; chunks met again
-    move to the new one, so frequent ones stay.
+    move to the new one, so frequent ones stay. Both are bounded in entries and bytes.
     """
 
     def __init__(self, path: str):
@@ -99,11 +117,12 @@ class ChunkTokenizer:
         return array(self.code, self.model.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MAX_CACHE:
-            self.known.old = {}
-            self.known = _Ids(self._make, dict(self.known))
-        ids, out = self.known.__getitem__, []
+        out = []
         for t in texts:
+            if self.known.full():
+                self.known.old = {}
+                self.known = _Ids(self._make, dict(self.known))
+            ids = self.known.__getitem__
             for c in "\n\t\r\x0b\x0c":
                 if c in t:
                     t = t.replace(c, " ")

@@ -1,13 +1,18 @@
 """Vectorised word and shingle hashing of one text, in numpy.
 
 All hashes are polynomial in the UTF-8 bytes modulo 2**64, mixed afterwards; equal words give equal hashes in every
-process. No list of words is made.
+process. No list of words is made, and texts beyond BLOCK bytes are hashed in blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
+#: Bytes of a text that are hashed at a time, about.
+BLOCK = 4 << 20
+
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RI = np.uint64(pow(int(_R), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -58,12 +63,44 @@ def word_bounds(data: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarra
     return edge[0::2], edge[1::2]
 
 
+def _parts(data: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of parts of about BLOCK bytes that end at white space, so that no word is cut."""
+    at = 0
+    while at < len(data):
+        end = min(at + BLOCK, len(data))
+        while end < len(data) and not (gaps := space[data[end : end + BLOCK]]).any():
+            end = min(end + BLOCK, len(data))
+        if end < len(data):
+            end += int(gaps.argmax())
+        yield at, end
+        at = end
+
+
+def _long_word(word: np.ndarray) -> np.uint64:
+    """window_hash of a whole word, added up by blocks."""
+    out = 0
+    for at in range(0, len(word), BLOCK):
+        part = word[at : at + BLOCK]
+        out += int(prefix_sums(part)[-1]) * pow(int(_R), at, 1 << 64)
+    return np.uint64(out % (1 << 64))
+
+
 def word_hashes(data: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mixed hashes of the words, and their byte bounds."""
-    starts, ends = word_bounds(data, space)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, ends
-    return mix(window_hash(prefix_sums(data), starts, ends) + (ends - starts).astype(np.uint64)), starts, ends
+    """Mixed hashes of the words, and their byte bounds; worked out in blocks, so memory follows the words."""
+    found = []
+    for a, b in _parts(data, space):
+        part = data[a:b]
+        starts, ends = word_bounds(part, space)
+        if not len(starts):
+            continue
+        if len(part) > 2 * BLOCK:  # some word is longer than a block
+            raw = np.array([_long_word(part[i:j]) for i, j in zip(starts.tolist(), ends.tolist())], np.uint64)
+        else:
+            raw = window_hash(prefix_sums(part), starts, ends)
+        found.append((mix(raw + (ends - starts).astype(np.uint64)), a + starts, a + ends))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found))
 
 
 def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:

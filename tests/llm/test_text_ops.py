@@ -5,13 +5,14 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrarow.llm import decontaminate, hilbert_pack, near_dedup, quality_crf, secret_cnn, suffix_dedup, toxicity_fst
+from terrarow.llm import decontaminate, hilbert_pack, near_dedup, quality_crf, secret_cnn, suffix_dedup, textual, toxicity_fst
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, rid string, key string, label string"
@@ -56,6 +57,40 @@ def test_chunk_tokenizer_equals_the_model():
             assert np.frombuffer(ids, tok.dtype).tolist() == tok.model.encode(text, add_special_tokens=False).ids
 
 
+def test_chunks_of_every_letter_before_punctuation(monkeypatch):
+    tok = hilbert_pack.ChunkTokenizer(hilbert_pack.default_vocabulary())
+    letters = [c for c in map(chr, range(0x21, 0x10000)) if c.isalnum() or unicodedata.category(c)[0] in "LMN"]
+    want = lambda t: tok.model.encode(t, add_special_tokens=False).ids
+    for tail in (*hilbert_pack._TAIL, ".,", "..."):
+        for at in range(0, len(letters), 2000):
+            part = letters[at : at + 2000]
+            for lead in ("", "a"):
+                text = " ".join(f"{lead}{c}{tail}" for c in part)
+                if np.frombuffer(tok.encode([text])[0], tok.dtype).tolist() != want(text):
+                    wrong = [c for c in part if np.frombuffer(tok.encode([lead + c + tail])[0], tok.dtype).tolist() != want(lead + c + tail)]
+                    raise AssertionError((tail, lead, [hex(ord(c)) for c in wrong][:20]))
+    assert np.frombuffer(tok.encode(["AL\u0130. ve VEL\u0130, geldi"])[0], tok.dtype).tolist() == want("AL\u0130. ve VEL\u0130, geldi")
+
+
+def test_chunk_cache_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(hilbert_pack, "CACHE_BYTES", 20_000)
+    tok = hilbert_pack.ChunkTokenizer(hilbert_pack.default_vocabulary())
+    r = random.Random(6)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x5E00)) for _ in range(900)) for _ in range(5)] + ["".join(r.choices("abcDEF019+/", k=5000)), prose(8, 3000), prose(8, 3000)]
+    for text in texts:
+        ids = tok.encode([text])[0]
+        assert np.frombuffer(ids, tok.dtype).tolist() == tok.model.encode(text, add_special_tokens=False).ids
+        assert max(map(len, tok.known)) <= hilbert_pack.LONG_CHUNK and len(tok.known.old) <= 3100
+    assert tok.known.old
+
+
+def test_rows_of_one_id_are_packed_each(spark):
+    docs = frame(spark, [prose(1, 30)]).union(frame(spark, [prose(2, 40)])).union(frame(spark, [prose(1, 30)])).union(frame(spark, [None]).withColumn("doc_id", F.lit(None).cast("bigint")))
+    _, by_doc = packed_pieces(docs)
+    assert sum(p[0] == 0 for p in by_doc[0]) == 3 and [p[1].tolist() for p in by_doc[None]] == [[1]]
+    assert sum(len(p[1]) for p in by_doc[0]) == sum(p[2] for p in by_doc[0] if p[0] == 0)
+
+
 def packed_pieces(df):
     rows = hilbert_pack.pack(df).collect()
     by_doc = collections.defaultdict(list)
@@ -89,6 +124,19 @@ def test_packing_nothing(spark):
     assert hilbert_pack.pieces(hilbert_pack.pack(frame(spark, []))).count() == 0
 
 
+# words
+
+
+def test_words_of_long_texts_are_hashed_in_blocks(monkeypatch):
+    text = f"{prose(1, 300)} {'long' * 400} {prose(2, 50)}\n\n  {'é' * 700}  end "
+    data = textual.as_bytes(text)
+    whole = textual.word_hashes(data)
+    for block in (64, 500):
+        monkeypatch.setattr(textual, "BLOCK", block)
+        assert all((a == b).all() for a, b in zip(whole, textual.word_hashes(data)))
+    assert len(textual.word_hashes(textual.as_bytes(" " * 5000))[0]) == 0
+
+
 # toxicity
 
 

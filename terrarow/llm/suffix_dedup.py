@@ -34,6 +34,8 @@ from .common import map_rows, stored, table
 from .textual import as_bytes, mix, prefix_sums, window_hash
 
 LENGTH, GRAM, GROUP = 200, 64, 250
+#: A context of more than MIN_HOT rows and more than a HOT_PER_TASK-th of a task's share is joined by broadcast.
+MIN_HOT, HOT_PER_TASK = 500, 8
 _BLOCK = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -208,7 +210,7 @@ def _repeats_by_halving(rows: DataFrame, length: int) -> DataFrame:
         hashed = stored(map_rows(todo.where(meets).select(*columns, "x.lo", "x.hi"), run, schema + ", wide binary, core binary"), "halves")
         if not hashed.limit(1).count():
             return found
-        twice = lambda c: hashed.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"), F.max("cnt").alias("m")).where("n > 1 OR m > 1").select(c, F.lit(True).alias(f"{c}_twice"))  # noqa: B023, E731
+        twice = lambda c: stored(hashed.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"), F.max("cnt").alias("m")).where("n > 1 OR m > 1").select(c), f"{c}-twice").withColumn(f"{c}_twice", F.lit(True))  # noqa: B023, E731
         known = stored(hashed.join(twice("wide"), "wide", "left").join(twice("core"), "core", "left").where("core_twice"), "halved")
         own = known.where("wide_twice AND cnt = 1").select("rid", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + length).alias("end"))
         found = stored(found.union(own), "found")
@@ -247,9 +249,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     known = stored(map_rows(docs.join(wanted, "rid").select("rid", "text", "a"), cut, "key bigint, cnt bigint, n_ctx bigint, rid bigint, at bigint, before int, span int, bytes binary"), "context-bytes")
     small = known.where(F.col("n_ctx") <= GROUP).repartition(n, "key").sortWithinPartitions("key")
     once = _repeats_in_groups(small, length).union(_repeats_by_halving(known.where(F.col("n_ctx") > GROUP), length))
+    # a context that would fill a task goes to all of them instead; at most HOT_PER_TASK * n contexts can be that frequent
+    hot = max(MIN_HOT, -(-(contexts.agg(F.sum("cnt")).first()[0] or 0) // (HOT_PER_TASK * n)))
+    of = lambda where: contexts.where(where).select("key", "ctx")
+    heavy = F.broadcast(of(F.col("cnt") > hot))
+    copies = rows.join(heavy, ["key", "ctx"]).union(rows.join(heavy, ["key", "ctx"], "left_anti").join(of((F.col("cnt") > 1) & (F.col("cnt") <= hot)), ["key", "ctx"]))
     lo = F.col("at") - F.col("before")
-    copies = rows.join(contexts.where("cnt > 1").select("key", "ctx"), ["key", "ctx"]).select("rid", lo.alias("start"), (lo + F.col("span") + length).alias("end"))
-    return once.union(copies)
+    return once.union(copies.select("rid", lo.alias("start"), (lo + F.col("span") + length).alias("end")))
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:

@@ -2,11 +2,16 @@ r"""Quality rules: a linear-chain conditional random field labels lines as conte
 
 Viterbi decoding marks every line with a word; a document is kept if the share of its words on content lines is at
 least min_share and the base rules hold. The field is trained in numpy on the lines of a bounded sample of labelled
-documents (MAX_TRAIN, MAX_TRAIN_LINES, the documented bounds, taken by a hash of the id); a line's label is its document's quality.
+documents (MAX_TRAIN, MAX_TRAIN_LINES, the documented bounds, taken by a hash of the id). Only documents are labelled,
+so their lines' labels are found in rounds: at first a line has its document's label, but a line that occurs before in
+its text, or in SHARED documents of the sample, is boilerplate; a field is fitted, and lines whose marginal is sure of
+the other label take it, as long as at least CLEAN_SHARE of a clean document's words stay content and at most
+JUNK_SHARE of another one's become it. Chains so change state within documents, and the transitions learn from it.
 Features are taken of every whole line of every whole text.
 
 Words are runs of characters other than space and \t-\r. Edge cases: null or empty text has no words and fails the
-base rule; a table without usable labels keeps what the base rules keep; repeated rows are judged alike; ids and
+base rule; labels other than 0 and 1 are ignored, and a table without usable ones keeps what the base rules keep;
+repeated rows are judged alike; texts of any length are judged whole; an empty table gives no rows; ids and
 other columns never influence a verdict.
 """
 
@@ -16,6 +21,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +32,8 @@ from .textual import as_bytes, shingle_hashes, word_hashes
 MAX_TRAIN, MAX_TRAIN_LINES = 3000, 400
 #: Share of the clean documents of the fit that the decoding must keep.
 KEEP_CLEAN = 0.999
+#: Documents of the sample from which a common line is boilerplate; shares that relabelled lines leave; how sure.
+SHARED, CLEAN_SHARE, JUNK_SHARE, SURE = 3, 0.75, 0.25, 0.9
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_SHARE = 50, 50, 0.5
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SYMBOL_BYTE = np.zeros(256, bool)
@@ -60,7 +68,7 @@ def base_counts(text: str | None) -> Base:
     data = as_bytes(text)
     words, starts, ends = word_hashes(data)
     n = len(words)
-    chars = np.zeros(len(data) + 1, np.int64)
+    chars = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
     np.cumsum(_START_BYTE[data], out=chars[1:])
     repeated = np.zeros(n, bool)
     if n >= 4:
@@ -81,6 +89,15 @@ def base_counts(text: str | None) -> Base:
     return Base(n, int((chars[ends] - chars[starts]).sum()), len(_SYMBOLS.findall(text or "")), int(dup.sum()), int(repeated.sum()), data, starts, ends, np.searchsorted(used, line), repeated, dup)
 
 
+def lines_of(b: Base) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words, and hashes from the first to the last word, of the lines with a word."""
+    first = np.searchsorted(b.line_of_word, np.arange(len(b.dup_line)))
+    words = np.diff(np.append(first, b.n_words))
+    raw = b.data.tobytes()
+    keys = [xxhash.xxh3_64_intdigest(raw[b.starts[i] : b.ends[i + n - 1]]) for i, n in zip(first.tolist(), words.tolist())]
+    return words, np.array(keys, np.uint64)
+
+
 def line_features(b: Base) -> np.ndarray:
     """One row of N_FEATURES for each line with a word."""
     n = len(b.dup_line)
@@ -89,7 +106,7 @@ def line_features(b: Base) -> np.ndarray:
         return out
     first = np.searchsorted(b.line_of_word, np.arange(n))
     lo, hi = b.starts[first], b.ends[np.append(first[1:], b.n_words) - 1]
-    sums = lambda mask: (lambda c: (c[hi] - c[lo]))(np.concatenate(([0], np.cumsum(mask))))
+    sums = lambda mask: np.add.reduceat(np.append(mask, False), np.stack([lo, hi], 1).ravel(), dtype=np.int64)[::2]
     d = b.data
     size = (hi - lo).astype(float)
     words = np.diff(np.append(first, b.n_words)).astype(float)
@@ -141,6 +158,18 @@ class LineField:
             at = back[i, int(at)]
         return states
 
+    def marginals(self, features: np.ndarray) -> np.ndarray:
+        """Probability of state 1 of each line, by forward and backward recursion."""
+        gain, m = (features @ self.w).tolist(), self.move.tolist()
+        ahead, behind = [0.0] * len(gain), [0.0] * len(gain)  # log odds of state 1 from the lines before and behind
+        step = lambda odds, m: float(np.logaddexp(m[0][1], odds + m[1][1]) - np.logaddexp(m[0][0], odds + m[1][0]))
+        turned = [[m[0][0], m[1][0]], [m[0][1], m[1][1]]]
+        for i in range(1, len(gain)):
+            ahead[i] = step(ahead[i - 1] + gain[i - 1], m)
+        for i in range(len(gain) - 2, -1, -1):
+            behind[i] = step(behind[i + 1] + gain[i + 1], turned)
+        return 1 / (1 + np.exp(-np.clip(np.array(ahead) + gain + np.array(behind), -50, 50)))
+
 
 def train_field(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, penalty: float = 0.02) -> LineField:
     """Maximum regularised likelihood by gradient ascent, all chains at once by forward and backward recursion."""
@@ -188,28 +217,82 @@ def train_field(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 15
     return LineField(w, move)
 
 
-def held_to_clean(field: LineField, clean: list[np.ndarray]) -> LineField:
-    """The field with the least content bias, in quarters up to 1, that keeps KEEP_CLEAN of the clean chains."""
+@dataclass(frozen=True)
+class Chain:
+    """The lines of a labelled document: features, words, and whether a line is repeated or shared by documents."""
+
+    features: np.ndarray
+    words: np.ndarray
+    common: np.ndarray
+    quality: int
+
+    def labels(self, wish: np.ndarray) -> np.ndarray:
+        """wish, as far as the document's share of content words allows; the most wished lines (falling |wish|) first.
+
+        wish: above 0 for content, below for boilerplate.
+        """
+        own = np.full(len(wish), self.quality)
+        most = ((1 - CLEAN_SHARE) if self.quality else JUNK_SHARE) * self.words.sum()
+        other = np.flatnonzero((wish < 0) if self.quality else (wish > 0))
+        for k in other[np.argsort(-np.abs(wish[other]), kind="stable")].tolist():
+            if self.words[k] <= most:
+                own[k] = 1 - self.quality
+                most -= self.words[k]
+        return own
+
+
+def fit_lines(chains: list[Chain], rounds: int = 2) -> LineField:
+    """Fields and line labels in turn, the first labels from the documents' and the lines that occur elsewhere."""
+    wishes = [np.where(c.common, -1.0, 0.0) for c in chains]
+    for r in range(rounds + 1):
+        labels = [c.labels(w) for c, w in zip(chains, wishes)]
+        field = train_field([(c.features, y) for c, y in zip(chains, labels)])
+        if r < rounds:
+            for k, c in enumerate(chains):
+                p = field.marginals(c.features)
+                wishes[k] = np.where(c.common, -1.0, np.where(np.maximum(p, 1 - p) >= SURE, 2 * p - 1, 0.0))
+    return field
+
+
+def held_to_clean(field: LineField, clean: list[Chain]) -> LineField:
+    """The field with the least content bias, in quarters up to 1, that keeps KEEP_CLEAN of the clean chains by their words."""
     for bias in (0.0, 0.25, 0.5, 0.75, 1.0):
         out = LineField(field.w + np.r_[bias, np.zeros(len(field.w) - 1)], field.move)
-        if sum(out.viterbi(f).mean() >= MIN_SHARE for f in clean) >= KEEP_CLEAN * len(clean):
+        if sum(c.words @ out.viterbi(c.features) >= MIN_SHARE * c.words.sum() for c in clean) >= KEEP_CLEAN * len(clean):
             break
     return out
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> LineField:
-    """The field fitted on max_train labelled documents at most; only line features come to the driver."""
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+def labelled_chains(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> list[Chain]:
+    """max_train labelled documents at most; only line features come to the driver."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", "text")
 
     def features(batch):
-        base = [base_counts(t.as_py()) for t in batch.column(1)]
-        yield {"quality": batch.column(0), "features": [line_features(b)[:MAX_TRAIN_LINES].astype(np.float32).tobytes() for b in base]}
+        out: dict[str, list] = {"quality": batch.column(0), "features": [], "words": [], "keys": []}
+        for t in batch.column(1):
+            b = base_counts(t.as_py())
+            words, keys = lines_of(b)
+            for c, v in (("features", line_features(b).astype(np.float32)), ("words", words.astype(np.int64)), ("keys", keys)):
+                out[c].append(v[:MAX_TRAIN_LINES].tobytes())
+        yield out
+
+    got = [r for r in map_rows(rows, features, "quality int, features binary, words binary, keys binary").orderBy("quality", "features", "keys").collect() if r.features]
+    keys = [np.frombuffer(r["keys"], np.uint64) for r in got]
+    each, n = np.unique(np.concatenate([np.unique(k) for k in keys]), return_counts=True) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    shared = each[n >= SHARED]
+    chains = []
+    for r, k in zip(got, keys):
+        f = np.frombuffer(r.features, np.float32).reshape(-1, N_FEATURES).astype(float)
+        chains.append(Chain(f, np.frombuffer(r.words, np.int64), (f[:, 6] > 0) | np.isin(k, shared), r.quality))
+    return chains
 
-    got = map_rows(rows, features, "quality int, features binary").orderBy("quality", "features").collect()
-    chains = [(np.frombuffer(r.features, np.float32).reshape(-1, N_FEATURES).astype(float), r.quality) for r in got if r.features]
-    return held_to_clean(train_field([(f, np.full(len(f), q)) for f, q in chains]), [f for f, q in chains if q == 1])
+
+def fit_on_labels(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> LineField:
+    """The field fitted on max_train labelled documents at most."""
+    chains = labelled_chains(docs, labels, max_train)
+    return held_to_clean(fit_lines(chains), [c for c in chains if c.quality == 1])
 
 
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, content_share double, n_boilerplate_lines bigint, kept boolean"

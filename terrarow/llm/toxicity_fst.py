@@ -1,16 +1,22 @@
 r"""Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers are composed: a lexical one that rewrites words to symbols (insults by learned words and stems,
-threats, targets, negations and reported speech by fixed lists), one for targets, one for threats, one for
-negations and one for reported speech. Each copies its input and rewrites the symbols in its scope; the tropical
-best path through the composition gives every clause its matches and weight. A document's score is a logistic
-function of its matched clauses, never of isolated words of other clauses.
+Six transducers are composed. The lexicon reads words: an insult (learned words and stems) may be read as INSULT, with
+its learned weight, or merely as NAMED; threats, targets, negations and reported speech have fixed lists. The insult
+transducer lets insults of a clause reinforce each other, the threat one turns a target behind a threat, and the
+target one an insult behind a target, into a stronger match. The negation transducer admits only NAMED insults and no
+threats behind a negation, the reported-speech one weakens what follows a verb of speech; both have a competing arc
+that passes over the trigger at a cost, so that the tropical best path chooses for every clause which reading weighs
+most. The lexicon is composed with the others as words are read. A clause is matched if its best path weighs more
+than MATCH; a document's score is a logistic function of its clauses' matches and path weights, never of words apart
+from their clauses.
 
 Insults and weights are learned from labelled rows of the training fold only: crc32(doc_id as text) mod 4 is not 2.
 At most MAX_TOXIC and MAX_CLEAN labelled documents (a documented bound, taken by a hash of the id) are used, with
-weights that restore the label shares of all rows in the fold.
+weights that restore the label shares of all rows in the fold; the lexicon holds at most MAX_TERMS words and stems,
+those that stand out most.
 
-Edge cases: null and empty texts have no clause and get the base rate; equal rows get equal scores; without labels
+Edge cases: null and empty texts have no clause and get the base rate; equal rows get equal scores; texts of any length
+are read whole, clause by clause; an empty table gives no rows; without labels
 the grammar keeps only its fixed lists and the base rate is 0; extra columns are ignored; doc_id, lang and source
 are never inputs.
 """
@@ -41,7 +47,11 @@ REPORTS = "said says say told called calls wrote quoted quote reported claimed s
 
 _WORD = re.compile(r"\w+(?:['’]\w+)?")
 _CLAUSE_END = re.compile(r"[.!?;:]['\")]*$")
-O, INSULT, THREAT, TARGET, NEG, REPORT, INSULT_AT, THREAT_AT, INSULT_NOT, INSULT_SAID = range(10)
+O, INSULT, THREAT, TARGET, NEG, REPORT, INSULT_AT, THREAT_AT, INSULT_NOT, INSULT_SAID, NAMED, THREAT_SAID = range(12)
+#: Weights of arcs: passing over a negation or a verb of speech; matches; what reported speech takes away.
+PASS_OVER, AT_TARGET, AGAIN, SAID, MENTION, ODDS = -2.0, 0.5, 0.25, -0.6, 0.02, 0.25
+#: Weight above which a clause is matched.
+MATCH = 0.3
 
 
 @dataclass(frozen=True)
@@ -65,15 +75,17 @@ class Transducer:
             arcs.append({k: tuple(v) for k, v in own.items()})
         return Transducer(tuple(arcs))
 
-    def best(self, symbols: list[int]) -> tuple[float, list[int]]:
-        """The heaviest path: its weight and outputs."""
+    def best(self, words: list[tuple[tuple[int, float], ...]]) -> tuple[float, list[int]]:
+        """The heaviest path over words' alternative (symbol, weight) readings: its weight and outputs."""
         heads: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
-        for s in symbols:
+        for readings in words:
             nxt: dict[int, tuple[float, tuple | None]] = {}
             for state, (w, path) in heads.items():
-                for out, v, to in self.arcs[state].get(s, ()):
-                    if to not in nxt or w + v > nxt[to][0]:
-                        nxt[to] = (w + v, (out, path))
+                arcs = self.arcs[state]
+                for symbol, u in readings:
+                    for out, v, to in arcs.get(symbol, ()):
+                        if to not in nxt or w + u + v > nxt[to][0]:
+                            nxt[to] = (w + u + v, (out, path))
             heads = nxt
         w, path = max(heads.values(), key=lambda x: x[0])
         outs = []
@@ -83,35 +95,36 @@ class Transducer:
         return w, outs[::-1]
 
 
-_ALL = range(10)
+_ALL = range(12)
 
 
-def _scope(trigger: int, reach: int, rewrite: dict[int, tuple[int, float]], after: bool = True) -> Transducer:
-    """Copies symbols; within reach symbols after trigger, rewrites as told."""
+def _scope(trigger: int, reach: int, rewrite: dict[int, tuple[tuple[int, float], ...]], pass_over: float | None = None) -> Transducer:
+    """Copies symbols; within reach symbols after trigger, gives the rewritten ones instead; pass_over: weight of ignoring a trigger."""
     arcs = []
     for left in range(reach + 1):
         own = {}
         for s in _ALL:
-            out, w = rewrite.get(s, (s, 0.0)) if left else (s, 0.0)
-            own[s] = ((out, w, reach if s == trigger else max(0, left - 1)),)
+            outs = rewrite.get(s, ((s, 0.0),)) if left else ((s, 0.0),)
+            own[s] = tuple((out, w, reach if s == trigger else max(0, left - 1)) for out, w in outs)
+        if pass_over is not None:
+            own[trigger] += ((O, pass_over, max(0, left - 1)),)
         arcs.append(own)
     return Transducer(tuple(arcs))
 
 
 def grammar() -> Transducer:
-    """insult and threat, target, negation and reported-speech transducers, composed."""
-    insult = Transducer(({s: ((s, 1.0 if s == INSULT else 0.5 if s == THREAT else 0.0, 0),) for s in _ALL},))
-    target = _scope(TARGET, 6, {INSULT: (INSULT_AT, 0.5)})
-    threat = _scope(THREAT, 4, {TARGET: (THREAT_AT, 1.0)})
-    negation = _scope(NEG, 3, {INSULT: (INSULT_NOT, -1.0), INSULT_AT: (INSULT_NOT, -1.2), THREAT_AT: (TARGET, -1.0)})
-    reported = _scope(REPORT, 8, {INSULT: (INSULT_SAID, -0.5), INSULT_AT: (INSULT_SAID, -0.7)})
-    # the threat transducer comes first, as the target one must see threats' targets as targets
+    """Threat, insult, target, negation and reported-speech transducers, composed."""
+    threat = _scope(THREAT, 4, {TARGET: ((THREAT_AT, 2 * AT_TARGET), (TARGET, 0.0))})
+    insult = _scope(INSULT, 3, {INSULT: ((INSULT, AGAIN),)})
+    target = _scope(TARGET, 5, {INSULT: ((INSULT_AT, AT_TARGET), (INSULT, 0.0))})
+    negation = _scope(NEG, 3, {INSULT: (), INSULT_AT: (), THREAT_AT: (), NAMED: ((INSULT_NOT, 0.0),)}, PASS_OVER)
+    reported = _scope(REPORT, 6, {INSULT: ((INSULT_SAID, SAID),), INSULT_AT: ((INSULT_SAID, SAID - AT_TARGET),), THREAT_AT: ((THREAT_SAID, SAID - 0.2),), NAMED: ((INSULT_SAID, 0.0),)}, PASS_OVER)
     return threat.compose(insult).compose(target).compose(negation).compose(reported)
 
 
 @dataclass
 class Grammar:
-    """The lexical transducer (words and stems to symbols) before the composed scopes."""
+    """The lexicon (words and stems with their log odds), read into the composed scopes."""
 
     words: dict[str, float]
     stems: dict[str, float]
@@ -121,8 +134,8 @@ class Grammar:
     def __getstate__(self):
         return {"words": self.words, "stems": self.stems, "scopes": self.scopes, "known": {}}
 
-    def lexical(self, chunk: str) -> tuple[int, float, bool]:
-        """(symbol, weight, whether a clause ends) of a chunk of lower-case text without white space."""
+    def readings(self, chunk: str) -> tuple[tuple[tuple[int, float], ...], bool, bool]:
+        """The arcs of a chunk of lower-case text without white space, whether it can match, whether a clause ends."""
         hit = self.known.get(chunk)
         if hit is None:
             symbol, weight = O, 0.0
@@ -135,37 +148,39 @@ class Grammar:
                     symbol, weight = INSULT, value
                 elif symbol == O:
                     symbol = _FIXED.get(w, O)
+            arcs = ((INSULT, ODDS * weight), (NAMED, MENTION)) if symbol == INSULT else ((symbol, 0.0),)
             if len(self.known) > 400_000:
                 self.known.clear()
-            hit = self.known[chunk] = (symbol, weight, _CLAUSE_END.search(chunk) is not None)
+            hit = (arcs, symbol in (INSULT, THREAT), _CLAUSE_END.search(chunk) is not None)
+            if len(chunk) <= 64:
+                self.known[chunk] = hit
         return hit
 
     def features(self, text: str | None) -> list[float]:
         """Of a whole text: matched clauses by kind, their weights, and their density."""
-        counts, total, top, matched, clauses, words, weights = Counter(), 0.0, 0.0, 0, 0, 0, 0.0
-        lexical = self.lexical
+        counts, total, top, matched, clauses, words = Counter(), 0.0, 0.0, 0, 0, 0
+        readings = self.readings
         for line in (text or "").lower().split("\n"):
-            clause: list[int] = []
-            hot = 0.0
+            clause: list = []
+            hot = False
             chunks = line.split()
             words += len(chunks)
             for i, chunk in enumerate(chunks):
-                symbol, weight, end = lexical(chunk)
-                clause.append(symbol)
-                if weight or symbol == THREAT:
-                    hot += weight + (symbol == THREAT)
+                arcs, can_match, end = readings(chunk)
+                clause.append(arcs)
+                hot |= can_match
                 if end or i == len(chunks) - 1:
                     clauses += 1
                     if hot:
                         w, outs = self.scopes.best(clause)
                         counts.update(outs)
-                        matched += w > 0
-                        total += max(0.0, w)
-                        top = max(top, w)
-                        weights += hot
-                    clause, hot = [], 0.0
+                        if w > MATCH:
+                            matched += 1
+                            total += w
+                            top = max(top, w)
+                    clause, hot = [], False
         n = [counts[k] for k in (INSULT, INSULT_AT, INSULT_NOT, INSULT_SAID, THREAT_AT)]
-        return [1.0, *map(math.log1p, n), math.log1p(total), min(top, 4.0), float(matched > 0), float(matched > 1), 10 * matched / max(clauses, 1), min(3.0, 30 * total / max(words, 1)), math.log1p(weights) / 2, math.log1p(words) / 8]
+        return [1.0, *map(math.log1p, n), math.log1p(total), min(top, 4.0), float(matched > 0), float(matched > 1), 10 * matched / max(clauses, 1), min(3.0, 30 * total / max(words, 1)), math.log1p(words) / 8]
 
 
 _FIXED = {w: k for k, ws in ((REPORT, REPORTS), (NEG, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws}

@@ -142,15 +142,45 @@ def test_words_of_long_texts_are_hashed_in_blocks(monkeypatch):
 
 
 def test_transducers_compose_and_match_scopes():
-    g = toxicity_fst.Grammar({"moron": 2.0}, {"idio": 2.0})
-    symbols = lambda s: [g.lexical(w)[0] for w in s.split()]
-    kind = lambda s: [o for o in g.scopes.best(symbols(s))[1] if o in (1, 6, 7, 8, 9)]
-    assert kind("the moron left") == [toxicity_fst.INSULT]
-    assert kind("you are a moron") == [toxicity_fst.INSULT_AT]
-    assert kind("he is not an idiot") == [toxicity_fst.INSULT_NOT]
-    assert kind("she said idiots lie") == [toxicity_fst.INSULT_SAID]
-    assert kind("i kill you") == [toxicity_fst.THREAT_AT]
-    assert g.scopes.best(symbols("you moron"))[0] > g.scopes.best(symbols("a moron"))[0] > g.scopes.best(symbols("not a moron"))[0]
+    t = toxicity_fst
+    g = t.Grammar({"moron": 4.0}, {"idio": 4.0})
+    best = lambda s: g.scopes.best([g.readings(w)[0] for w in s.split()])
+    kind = lambda s: [o for o in best(s)[1] if o in (t.INSULT, t.INSULT_AT, t.INSULT_NOT, t.INSULT_SAID, t.THREAT_AT, t.THREAT_SAID)]
+    assert kind("the moron left") == [t.INSULT]
+    assert kind("you are a moron") == [t.INSULT_AT]
+    assert kind("he is not an idiot") == [t.INSULT_NOT]
+    assert kind("she said idiots lie") == [t.INSULT_SAID]
+    assert kind("i kill you") == [t.THREAT_AT] and kind("i never kill you") == []
+    assert kind("he wrote i kill you") == [t.THREAT_SAID]
+    assert best("you moron")[0] > best("a moron")[0] > best("not a moron")[0]
+    # several insults outweigh a negation: another path wins
+    assert kind("not a moron") == [t.INSULT_NOT] and kind("you are not moron moron moron idiots") == [t.INSULT_AT] * 3 + [t.INSULT]
+    assert any(len(outs) > 1 for arcs in g.scopes.arcs for outs in arcs.values())
+
+
+def test_best_path_by_brute_force():
+    t = toxicity_fst
+    g = t.Grammar({"moron": 4.0, "scum": 7.0}, {})
+    r = random.Random(3)
+    words = ["moron", "scum", "you", "not", "said", "kill", "plain"]
+    for _ in range(150):
+        clause = [g.readings(r.choice(words))[0] for _ in range(r.randint(1, 6))]
+        paths = {0: [0.0]}
+        for readings in clause:  # every path, none merged
+            nxt = collections.defaultdict(list)
+            for state, ws in paths.items():
+                for symbol, u in readings:
+                    for _, v, to in g.scopes.arcs[state].get(symbol, ()):
+                        nxt[to] += [w + u + v for w in ws]
+            paths = nxt
+        assert abs(g.scopes.best(clause)[0] - max(w for ws in paths.values() for w in ws)) < 1e-9
+
+
+def test_negated_and_reported_insults_are_no_matches():
+    g = toxicity_fst.Grammar({"idiot": 4.0}, {})
+    matched = lambda s: g.features(s)[6:10]  # noqa: E731  path weights and matched clauses
+    assert matched("you idiot.")[2] == 1.0 and matched("you are not an idiot.") == [0.0, 0.0, 0.0, 0.0]
+    assert matched("you idiot.")[0] > matched("he said you idiot.")[0]
 
 
 def test_toxicity_held_out(spark):
@@ -177,8 +207,12 @@ def test_toxicity_odd_inputs(spark):
     docs, none = frame(spark, ODD), spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = toxicity_fst.score(docs, toxicity_fst.fit(docs, none)).collect()
     assert len(got) == len(ODD) and all(g.predicted == 0 for g in got)
+    model = toxicity_fst.ToxicityModel(toxicity_fst.Grammar({"word": 3.0}, {}), np.arange(13) / 13)
+    assert toxicity_fst.score(frame(spark, []), model).count() == 0
+    twice = toxicity_fst.score(docs.union(docs), model).collect()
+    assert len(twice) == 2 * len(ODD) and len({(g.doc_id, g.score) for g in twice}) == len(ODD)
     null_id = docs.limit(1).withColumn("doc_id", F.lit(None).cast("bigint"))
-    assert toxicity_fst.score(null_id, toxicity_fst.ToxicityModel(toxicity_fst.Grammar({}, {}), np.zeros(14))).first().held_out is False
+    assert toxicity_fst.score(null_id, toxicity_fst.ToxicityModel(toxicity_fst.Grammar({}, {}), np.zeros(13))).first().held_out is False
 
 
 # quality rules
@@ -216,6 +250,50 @@ def test_viterbi_finds_the_best_labelling():
         assert field.viterbi(f).astype(int).tolist() == max(every, key=score)
 
 
+def test_marginals_by_brute_force():
+    g = np.random.default_rng(4)
+    field = quality_crf.LineField(g.standard_normal(quality_crf.N_FEATURES), g.standard_normal((2, 2)))
+    for n in range(1, 7):
+        f = g.standard_normal((n, quality_crf.N_FEATURES))
+        weight = lambda s: math.exp(sum((f[i] @ field.w) * s[i] for i in range(n)) + sum(field.move[s[i - 1], s[i]] for i in range(1, n)))  # noqa: B023, E731
+        every = [[k >> i & 1 for i in range(n)] for k in range(1 << n)]
+        total = sum(map(weight, every))
+        want = [sum(weight(s) for s in every if s[i]) / total for i in range(n)]
+        assert np.allclose(field.marginals(f), want)
+
+
+def test_line_labels_keep_to_the_documents_share():
+    words = np.array([10, 30, 5, 55])
+    clean = quality_crf.Chain(np.zeros((4, 1)), words, np.zeros(4, bool), 1)
+    assert clean.labels(np.array([-1.0, -0.9, -0.95, 0.9])).tolist() == [0, 1, 0, 1]
+    assert clean.labels(np.array([0.0, -0.5, 0.0, -0.9])).tolist() == [1, 1, 1, 1]
+    junk = quality_crf.Chain(np.zeros((4, 1)), words, np.zeros(4, bool), 0)
+    assert junk.labels(np.array([0.9, 0.95, 0.9, 0.99])).tolist() == [1, 0, 1, 0]
+
+
+def test_quality_held_out(spark):
+    """Fitted on half of a table's documents, the field judges the other half; its chains change state within documents."""
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    chains = quality_crf.labelled_chains(docs.where("doc_id % 2 = 0"), known)
+    model = quality_crf.held_to_clean(quality_crf.fit_lines(chains), [c for c in chains if c.quality])
+    rows = {r.doc_id: r for r in quality_crf.judge(docs.where("doc_id % 2 = 1"), model).collect() if not r.base_failed}
+    truth = {r.doc_id: r.quality for r in known.collect() if r.doc_id in rows}
+    right = [rows[i].kept == (y == 1) for i, y in truth.items()]
+    assert np.mean(right) >= 0.95 and np.mean([rows[i].kept for i, y in truth.items() if y]) >= 0.98
+    assert any(0 < r.content_share < 1 for r in rows.values())
+    assert any(0 < c.labels(np.where(c.common, -1.0, 0.0)).mean() < 1 for c in chains)
+
+
+def test_quality_odd_labels_rows_and_tables(spark, sample, labels):
+    odd = labels.withColumn("quality", F.when(F.col("doc_id") % 3 == 0, 2).when(F.col("doc_id") % 3 == 1, F.col("quality")).cast("int"))
+    model = quality_crf.fit_on_labels(sample, odd)
+    twice = quality_crf.judge(sample.limit(20).union(sample.limit(20)), model).collect()
+    assert len(twice) == 40 and len(set(map(tuple, twice))) == 20
+    assert quality_crf.judge(frame(spark, []), model).count() == 0
+    none = quality_crf.fit_on_labels(sample, labels.limit(0))
+    assert all(r.kept != r.base_failed for r in quality_crf.judge(sample, none).collect())
+
+
 def test_quality_judges(spark, sample, labels):
     model = quality_crf.fit_on_labels(sample, labels)
     rows = {r.doc_id: r for r in quality_crf.judge(sample, model).collect()}

@@ -1,16 +1,19 @@
 """WARC: a Python data source that writes and reads archives of gzip members, one record each.
 
-Writing: spark.write.format("warc") puts one file per task into a folder by a name of its own; the commit writes a
-manifest of the files of successful attempts, so files of lost or repeated tasks are never read. Reading: the reader
-plans one partition per manifest file (large files are split at record members listed in the manifest), takes equality
-and IN predicates on record_type and the headers it exposes, parses the header block of each record first and skips
-the payload where a predicate fails or the payload columns aren't asked for.
+Writing: spark.write.format("warc") puts one file per task into a folder by a name of its own, and beside it an index
+with where each record starts; the commit writes a manifest with name, size and number of records of the files of
+successful attempts, so files of lost or repeated tasks are never read. Reading: the reader
+plans partitions of SPLIT_BYTES over the manifest's files, and a task takes the records that start in its part. It takes equality
+and IN predicates on record_type and the headers it exposes, inflates the header block of each record first, and where
+a predicate fails or payloads aren't asked for goes on to the start of the next record, without reading or inflating
+the rest.
 
 Any file system that pyarrow can open by URI holds the archives.
 
 Edge cases: null html is an empty payload; null urls give an empty target; records with a null page_id are written
 with an empty id, never referred to, and read back as null; an empty table gives an empty archive; equal payloads,
-even empty ones, are revisits of the smallest page_id's record; extra columns are ignored.
+even empty ones, are revisits of the smallest page_id's record; rows that repeat a page_id are records each, and where
+several with equal payloads have the smallest page_id, each of them is a response; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ import hashlib
 import json
 import uuid
 import zlib
-from dataclasses import dataclass, field
+from array import array
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
@@ -30,11 +35,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from .common import new_path, stored, table
 
 SCHEMA = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
-MANIFEST = "_manifest.json"
+MANIFEST, INDEX = "_manifest.json", ".index"
 #: Bytes of an archive that one read task takes, at least; splits fall on member starts.
 SPLIT_BYTES = 32 << 20
-#: Records between two entries of a file's split index.
-_INDEX_EVERY = 64
+#: Bytes that are read at a time, and of a record to find its headers at first.
+_READ_BYTES, _HEAD_BYTES = 1 << 20, 1024
 
 
 def _open_fs(path: str):
@@ -84,7 +89,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
 class _Written(WriterCommitMessage):
     file: str = ""
     size: int = 0
-    starts: list = field(default_factory=list)
+    records: int = 0
 
 
 class WarcWriter(DataSourceWriter):
@@ -94,20 +99,22 @@ class WarcWriter(DataSourceWriter):
     def write(self, rows):
         fs, root = _open_fs(self.path)
         fs.create_dir(root, recursive=True)
-        name, size, starts = f"part-{uuid.uuid4().hex}.warc.gz", 0, []
+        name, size, starts = f"part-{uuid.uuid4().hex}.warc.gz", 0, array("q")
         with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
-            for i, r in enumerate(rows):
-                if i % _INDEX_EVERY == 0:
-                    starts.append(size)
+            for r in rows:
+                starts.append(size)
                 data = record_bytes(r["page_id"], r["url"], (r["html"] or "").encode(), r["refers_to"])
                 out.write(data)
                 size += len(data)
-        return _Written(name, size, starts)
+        starts.append(size)
+        with fs.open_output_stream(f"{root}/{name}{INDEX}", compression=None) as out:
+            out.write(np.array(starts, "<i8").tobytes())
+        return _Written(name, size, len(starts) - 1)
 
     def commit(self, messages):
         fs, root = _open_fs(self.path)
         fs.create_dir(root, recursive=True)
-        files = [{"file": m.file, "size": m.size, "starts": m.starts} for m in messages if m is not None]
+        files = [{"file": m.file, "size": m.size, "records": m.records} for m in messages if m is not None]
         with fs.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
             out.write(json.dumps(files).encode())
 
@@ -122,38 +129,43 @@ class _Part(InputPartition):
     end: int
 
 
-def _members(stream, size: int):
-    """(inflater, first bytes) of each gzip member, the rest of a member being inflated only when asked for."""
-    rest = b""
-    while True:
-        if not rest:
-            rest = stream.read(min(1 << 20, size))
-            size -= len(rest)
-            if not rest:
-                return
-        z = zlib.decompressobj(31)
-        text = bytearray()
-        head_end = -1
-        while not z.eof:
-            if not rest:
-                rest = stream.read(min(1 << 20, size))
-                size -= len(rest)
-                if not rest:
-                    raise EOFError("a record is cut off")
-            # headers come first: a small piece of output is made until the blank line shows
-            text += z.decompress(rest, 4096 if head_end < 0 else 0)
-            rest = z.unconsumed_tail if not z.eof else z.unused_data
-            if head_end < 0 and (head_end := text.find(b"\r\n\r\n")) >= 0:
-                wanted = yield bytes(text[:head_end])
-                if not wanted:
-                    text = bytearray()
-                    while not z.eof:  # the end of the member must be found, but its payload is thrown away in pieces
-                        if not rest:
-                            rest = stream.read(min(1 << 20, size))
-                            size -= len(rest)
-                        z.decompress(rest, 1 << 16)
-                        rest = z.unconsumed_tail if not z.eof else z.unused_data
-        yield bytes(text[head_end + 4 :]) if wanted else None
+class _Stretch:
+    """A file read forwards in pieces of _READ_BYTES; what lies between the pieces asked for isn't read."""
+
+    def __init__(self, file):
+        self.file, self.at, self.data = file, 0, b""
+        self.read_bytes = 0
+
+    def get(self, start: int, end: int) -> bytes:
+        if start < self.at or end > self.at + len(self.data):
+            kept = self.data[start - self.at :] if self.at <= start < self.at + len(self.data) else b""
+            self.file.seek(start + len(kept))
+            more = self.file.read(max(end - start - len(kept), min(_READ_BYTES, self.limit - start - len(kept))))
+            self.read_bytes += len(more)
+            self.at, self.data = start, kept + more
+        return self.data[start - self.at : end - self.at]
+
+    limit = 1 << 62
+
+
+def _inflated(stretch: _Stretch, start: int, end: int, wanted) -> bytes | None:
+    """The rest of the record of the bytes [start, end) if wanted(headers), else None; more than the headers is inflated only then."""
+    z, text, at, size = zlib.decompressobj(31), bytearray(), start, _HEAD_BYTES
+    while (head_end := text.find(b"\r\n\r\n")) < 0:
+        if at >= end:
+            raise EOFError("a record is cut off")
+        to = min(end, at + size)
+        text += z.decompress(stretch.get(at, to))
+        at, size = to, 2 * size
+    if not wanted(bytes(text[:head_end])):
+        return None
+    while at < end:
+        to = min(end, at + _READ_BYTES)
+        text += z.decompress(stretch.get(at, to))
+        at = to
+    if not z.eof:
+        raise EOFError("a record is cut off")
+    return bytes(text[head_end + 4 :])
 
 
 def _headers(head: bytes) -> dict[str, str]:
@@ -184,34 +196,37 @@ class WarcReader(DataSourceReader):
         fs, root = _open_fs(self.path)
         with fs.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
             files = json.loads(f.read())
-        parts = []
-        for x in files:
-            start = 0
-            for at in [*x["starts"][1:], x["size"]]:
-                if at - start >= SPLIT_BYTES or at == x["size"]:
-                    if at > start:
-                        parts.append(_Part(x["file"], start, at))
-                    start = at
+        parts = [_Part(x["file"], at, min(at + SPLIT_BYTES, x["size"])) for x in files if x["records"] for at in range(0, x["size"], SPLIT_BYTES)]
         return parts or [_Part("", 0, 0)]
 
     def read(self, part):
         if not part.file:
             return
         fs, root = _open_fs(self.path)
+        with fs.open_input_stream(f"{root}/{part.file}{INDEX}", compression=None) as f:
+            starts = np.frombuffer(f.read(), "<i8")
+        own = starts[: np.searchsorted(starts[:-1], part.end) + 1]
+        own = own[np.searchsorted(own, part.start) :]  # records that start in this part, and where the last one ends
         with fs.open_input_file(f"{root}/{part.file}") as f:
-            f.seek(part.start)
-            members = _members(f, part.end - part.start)
-            for head in members:
-                h = _headers(head)
-                row = {"page_id": _page(h["WARC-Record-ID"]), "url": _unclean(h["WARC-Target-URI"]), "record_type": h["WARC-Type"], "refers_to": _page(h.get("WARC-Refers-To")), "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": int(h["X-Payload-Length"])}
-                kept = all(row[c] in wanted for c, wanted in self.filters)
-                block = members.send(kept and self.payload and row["record_type"] == "response")
+            stretch = _Stretch(f)
+            stretch.limit = int(own[-1]) if len(own) else 0
+            for start, end in zip(own[:-1].tolist(), own[1:].tolist()):
+                row, kept = {}, False
+
+                def wanted(head):
+                    nonlocal row, kept
+                    h = _headers(head)
+                    row = {"page_id": _page(h["WARC-Record-ID"]), "url": _unclean(h["WARC-Target-URI"]), "record_type": h["WARC-Type"], "refers_to": _page(h.get("WARC-Refers-To")), "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": int(h["X-Payload-Length"])}
+                    kept = all(row[c] in values for c, values in self.filters)
+                    return kept and self.payload and row["record_type"] == "response"
+
+                block = _inflated(stretch, start, end, wanted)
                 if kept:
                     payload = None
                     if block is not None:
-                        payload = block[: int(h["Content-Length"])].split(b"\r\n\r\n", 1)[1]
+                        payload = block[:-4].split(b"\r\n\r\n", 1)[1]
                         if digest_of(payload) != row["payload_digest"] or len(payload) != row["payload_bytes"]:
-                            raise ValueError(f"record {h['WARC-Record-ID']}: the payload doesn't match its header")
+                            raise ValueError(f"record of page {row['page_id']}: the payload doesn't match its header")
                     yield (*row.values(), payload)
 
 
@@ -245,7 +260,8 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     size = F.octet_length(F.coalesce("html", F.lit("")))
     rows = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"))
-    shared = rows.where((size >= least_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # stored before the join, so both of its sides are plain exchanges, and a frequent digest's can be split
+    shared = stored(rows.where((size >= least_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "shared-payloads")
     return rows.join(shared, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
 
 

@@ -131,6 +131,49 @@ def test_warc_filters_and_splits(tmp_path):
     assert reader.filters == [("record_type", {"response"})]
 
 
+def test_unwanted_payloads_are_neither_read_nor_inflated(tmp_path):
+    import random
+
+    r = random.Random(2)
+    big = ["".join(r.choices("0123456789abcdef", k=3_000_000)) for _ in range(4)]
+    rows = [{"page_id": i, "url": "u", "html": big[i // 2] if i % 2 else f"small {i}", "refers_to": None} for i in range(8)]
+    path = f"file://{tmp_path}/w"
+    writer = warc.WarcWriter(path)
+    writer.commit([writer.write(rows)])
+    read = {}
+    for payload, filters in ((True, []), (False, []), (True, [("page_id", {0, 4})])):
+        reader = warc.WarcReader(path, payload)
+        reader.filters = filters
+        stretches = []
+        make = warc._Stretch
+        try:
+            warc._Stretch = lambda f, make=make, stretches=stretches: stretches.append(make(f)) or stretches[-1]
+            got = [x for p in reader.partitions() for x in reader.read(p)]
+        finally:
+            warc._Stretch = make
+        assert [x[0] for x in got] == ([0, 4] if filters else list(range(8)))
+        assert all(x[6] == (rows[x[0]]["html"].encode() if payload else None) for x in got)
+        read[payload, bool(filters)] = sum(x.read_bytes for x in stretches)
+    assert read[True, False] > 5_000_000 and read[False, False] < 0.8 * read[True, False] and read[True, True] < 0.8 * read[True, False]
+    # every split gives each record once
+    old = warc.SPLIT_BYTES
+    try:
+        warc.SPLIT_BYTES = 1000
+        reader = warc.WarcReader(path, False)
+        parts = reader.partitions()
+        assert len(parts) > 1000
+        some = [x[0] for p in parts[:5] + parts[1500:1700] + parts[-3000:] for x in reader.read(p)]
+        assert len(some) == len(set(some)) >= 3
+    finally:
+        warc.SPLIT_BYTES = old
+
+
+def test_rows_of_one_page_id(spark):
+    pages = spark.createDataFrame([(1, "u", "abc"), (1, "u", "abc"), (2, "u", "abc"), (2, "u", "other")], "page_id bigint, url string, html string")
+    got = sorted((r.page_id, r.html, r.refers_to or 0) for r in warc.with_revisits(pages).collect())
+    assert got == [(1, "abc", 0), (1, "abc", 0), (2, "abc", 1), (2, "other", 0)]
+
+
 def test_warc_least_bytes(spark):
     pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc"), (3, "u", ""), (4, "u", None), (None, "u", "abc")], "page_id bigint, url string, html string")
     got = {r.page_id: r.refers_to for r in warc.with_revisits(pages, least_bytes=2).collect()}

@@ -10,6 +10,7 @@ so no text can end a turn and unescaping is exact.
 
 Edge cases: null role or text counts as empty; a message whose parent is null, missing or itself, or that lies
 on a cycle of parents, is a root; equal messages are told apart by their ids, which must be unique within a tree; null tree ids form one tree;
+rows of a conversation that are equal in turn come in the order of role and text, null ones first, and equal rows all stay;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -97,16 +98,18 @@ def format_trees(messages: DataFrame, top: int | None = None) -> DataFrame:
     """tree, leaf, score, rank, formatted, mask: one row per chosen root-to-leaf path.
 
     messages: tree string, id long, parent long, role, text, score double (null: 0). A branch's score is the sum of
-    its messages' scores; ties go to the smaller leaf id. top keeps that many branches of a tree, None all.
+    its messages' scores; ties go to the smaller leaf id. top keeps that many branches of a tree, None all, ranked too.
     """
     steps = reply_paths(messages).select("tree", "leaf", "id", (-F.col("above")).alias("depth"))
-    texts = messages.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("s"))
-    rows = steps.join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i"))).groupBy("tree", "leaf").agg(F.sum("s").alias("score"), F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
-    if top is not None:
-        best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-        rows = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    else:
-        rows = rows.withColumn("rank", F.lit(None).cast("int"))
+    same = F.col("tree").eqNullSafe(F.col("t"))
+    # branches are ranked by ids and scores alone; texts join the chosen ones
+    scores = messages.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.coalesce("score", F.lit(0.0)).alias("s"))
+    ranked = steps.join(scores, same & (F.col("id") == F.col("i"))).groupBy("tree", "leaf").agg(F.sum("s").alias("score"))
+    ranked = stored(ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))), "ranks")
+    chosen = (ranked if top is None else ranked.where(F.col("rank") <= top)).select(F.col("tree").alias("t"), F.col("leaf").alias("l"), "score", "rank")
+    texts = messages.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    kept = steps.join(chosen, same & (F.col("leaf") == F.col("l"))).select("tree", "leaf", "id", "depth", "score", "rank")
+    rows = kept.join(texts, same & (F.col("id") == F.col("i"))).groupBy("tree", "leaf").agg(F.first("score").alias("score"), F.first("rank").alias("rank"), F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
 
     def formatted(batch):
         names = batch.schema.names

@@ -3,10 +3,14 @@
 Only DataFrame and SQL functions are used. A cascade holds alternate levels: level 0 encodes the listed keys,
 level 1 those other keys of the corpus that pass level 0, level 2 the listed keys that pass level 1, and so on
 until no key of the corpus's complete universe is wrong. Membership is then exact for every key of that universe,
-without a join: each level is a binary literal in the plan.
+without a join: each level is a binary literal in the plan. Level 0 has as many bits a key as it takes to pass fewer
+other keys than are listed, however large the universe, so the list's size bounds every level, and the list is
+split into shards that keep each literal within max_bytes.
 
 Edge cases: a null url, or one without "://", has an empty host and path, fits no rule and is allowed. An empty
-list gives a cascade without levels. Repeated keys count once. Extra columns of the input are ignored.
+list gives a cascade without levels. Repeated keys count once, repeated pages are judged each. Parent domains of more
+labels than any listed key can't be listed and aren't made, so a host of any number of dots costs as much as the list's
+deepest key. An empty table gives no rows. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -63,10 +67,10 @@ def longest_rule(host: Column, path: Column, rules, value) -> Column:
     return out
 
 
-def suffixes(host: Column) -> Column:
-    """A host and its parent domains."""
+def suffixes(host: Column, most: int | None = None) -> Column:
+    """A host and its parent domains; most: those of so many labels at most."""
     n = F.size(F.split(host, r"\.", -1))
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.call_function("substring_index", host, F.lit("."), (-i).cast("int")))
+    return F.transform(F.sequence(F.lit(1), n if most is None else F.least(n, F.lit(most))), lambda i: F.call_function("substring_index", host, F.lit("."), (-i).cast("int")))
 
 
 @dataclass(frozen=True)
@@ -119,13 +123,15 @@ def _level(keys: DataFrame, n: int, seed: int, bits_per_key: float) -> Level:
 def build_cascade(keys: DataFrame, listed: DataFrame, bits_per_key: float = 10.0, max_bytes: int = 32 << 20) -> Cascade:
     """A cascade that is exact on every key of keys and listed (column key, nulls ignored).
 
-    The universe is labelled by one aggregation over both inputs, not by a join. Level sizes follow the counts; a
-    list whose level 0 would pass max_bytes is split into shards by key hash, each within the bound.
+    The universe is labelled by one aggregation over both inputs, not by a join. Level 0 passes other keys at the rate
+    at which they are about a quarter of the listed ones, or at that of bits_per_key where that is less, so level 1 and all further levels are no
+    larger than a filter over the list; a list whose level 0 would pass max_bytes is split into shards by key hash.
     """
     both = keys.select("key", F.lit(False).alias("listed")).unionByName(listed.select("key", F.lit(True).alias("listed")))
     universe = stored(both.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("listed").alias("listed")), "url-keys")
-    total = universe.where("listed").count()
-    n_shards = max(1, math.ceil(total * bits_per_key / 8 / max_bytes))
+    total, every = universe.agg(F.count_if("listed"), F.count("*")).first()
+    first_bits = max(bits_per_key, math.log(4 * max(1, every) / max(1, total)) / math.log(2) ** 2)
+    n_shards = max(1, math.ceil(total * first_bits / 8 / max_bytes))
     cascade = Cascade(((),) * n_shards)
     shards = []
     for s in range(n_shards):
@@ -133,7 +139,7 @@ def build_cascade(keys: DataFrame, listed: DataFrame, bits_per_key: float = 10.0
         inside, outside, levels = own.where("listed").select("key"), own.where(~F.col("listed")).select("key"), []
         n = total if n_shards == 1 else inside.count()
         while n:
-            levels.append(_level(inside, n, 1000 * s + 2 * len(levels), bits_per_key))
+            levels.append(_level(inside, n, 1000 * s + 2 * len(levels), bits_per_key if levels else first_bits))
             inside, outside = outside.where(levels[-1].has(F.col("key"))), inside
             n = inside.count()
         shards.append(tuple(levels))
@@ -143,7 +149,8 @@ def build_cascade(keys: DataFrame, listed: DataFrame, bits_per_key: float = 10.0
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict per page: the longest rule's verdict, else block if host or parent is listed."""
     hosts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    keys = hosts.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key"))
+    most = listed.where("key IS NOT NULL").agg(F.max(F.size(F.split("key", r"\.", -1)))).first()[0] or 1
+    keys = hosts.select("host").distinct().select(F.explode(suffixes(F.col("host"), most)).alias("key"))
     cascade = build_cascade(keys, listed)
 
     def judged(rows: DataFrame, is_listed: Column) -> DataFrame:
@@ -151,10 +158,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
         return rows.select("page_id", "host", "path", longest_rule(host, path, rules, lambda r: r.name).alias("rule"), F.coalesce(longest_rule(host, path, rules, lambda r: r.verdict), F.when(is_listed, "block").otherwise("allow")).alias("verdict"))
 
     if len(cascade.shards) == 1:
-        return judged(hosts, F.exists(suffixes(F.col("host")), lambda k: cascade.listed(k)))
+        return judged(hosts, F.exists(suffixes(F.col("host"), most), lambda k: cascade.listed(k)))
     out = hosts.withColumn("hit", F.lit(False))
     for s in range(len(cascade.shards)):  # one pass for each shard keeps every literal within the bound
-        out = stored(out.withColumn("hit", F.col("hit") | F.exists(suffixes(F.col("host")), lambda k, s=s: (cascade.shard_of(k) == s) & cascade.listed(k, s))), "url-hits")
+        out = stored(out.withColumn("hit", F.col("hit") | F.exists(suffixes(F.col("host"), most), lambda k, s=s: (cascade.shard_of(k) == s) & cascade.listed(k, s))), "url-hits")
     return judged(out, F.col("hit"))
 
 

@@ -52,6 +52,25 @@ def test_sharded_and_empty_cascades(spark):
     assert keys(spark, names).where(url_filter.build_cascade(keys(spark, names), keys(spark, [])).listed(F.col("key"))).count() == 0
 
 
+def test_levels_are_bounded_by_the_list(spark):
+    """However many other keys there are, no level outgrows a filter over the list."""
+    universe = spark.range(200_000).select(F.concat(F.lit("h"), "id", F.lit(".example")).alias("key"))
+    listed = [f"h{i}.example" for i in range(0, 2000, 20)] + ["gone.example"]
+    cascade = url_filter.build_cascade(universe, keys(spark, listed))
+    first = len(cascade.shards[0][0].bits)
+    assert len(cascade.shards) == 1 and all(len(x.bits) <= max(64, first) for x in cascade.shards[0])
+    assert universe.where(cascade.listed(F.col("key"))).count() == 100
+
+
+def test_hosts_of_many_dots_rows_and_tables(spark):
+    urls = ["http://" + "a." * 3000 + "spam-farm.example.net/x", "http://" + "." * 500, "http://cheap-pills.example.net", "http://cheap-pills.example.net"]
+    pages = spark.createDataFrame([(min(i, 2), u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    got = sorted((r.page_id, r.verdict) for r in url_filter.filter_urls(pages, keys(spark, url_filter.LISTED)).collect())
+    assert got == [(0, "block"), (1, "allow"), (2, "block"), (2, "block")]
+    assert url_filter.filter_urls(pages.limit(0), keys(spark, url_filter.LISTED)).count() == 0
+    assert {r.verdict for r in url_filter.filter_urls(pages, keys(spark, [])).collect()} == {"allow"}
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "HTTP://A.ORG/x", "http://org/", "http://org", "http://b.example.org/es/1?q", "http://example.org/en/12", "http://x.com/fr/#t", "http://spam-farm.example.org/", "http://sub.spam-farm.example.net?x://y", "a://b://c/d", "http://notorg/"]
     pages = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(urls)], "page_id bigint, url string, host string, verdict string")
@@ -87,6 +106,16 @@ def test_reply_trees(spark):
     assert got == {("t", 2): ["q", "a"], ("t", 4): ["q", "b", ""], ("t", 9): ["orphan"], (None, 1): ["lone"], ("c", 1): ["x"], ("c", 3): ["y", "z"]}
     best = {r.tree: (r.leaf, r.score) for r in chat_tree.format_trees(m, top=1).collect()}
     assert best["t"] == (2, 5.0)
+    ranks = {(r.tree, r.leaf): r["rank"] for r in chat_tree.format_trees(m).collect()}
+    assert ranks == {("t", 2): 1, ("t", 4): 2, ("t", 9): 3, (None, 1): 1, ("c", 1): 1, ("c", 3): 2}
+
+
+def test_conversations_with_nulls_and_ties(spark):
+    """A null conv_id is a conversation; turns equal in number and role come in the order of their texts, equal rows stay."""
+    rows = [(None, 1, "user", "a"), (None, 2, "assistant", None), (5, 1, "user", "z"), (5, 1, "user", "y"), (5, 1, "user", "y"), (5, None, None, "first")]
+    m = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("tree", F.lit("x"))
+    got = {r.tree: chat_tree.parse_turns(r.formatted) for r in chat_tree.format_trees(chat_tree.conversations_as_trees(m)).collect()}
+    assert got == {None: [("user", "a"), ("assistant", "")], "5": [("", "first"), ("user", "y"), ("user", "y"), ("user", "z")]}
 
 
 def test_deep_chain(spark):

@@ -8,8 +8,11 @@ similarity of their shingle multisets; shingles that many items share weigh less
 benchmark, so the weights don't depend on the blocks. A window without any shingle of
 the benchmark has similarity 0 to all items, so its fingerprint isn't computed.
 
-Whole texts are scanned in one pass and no document is shuffled; the benchmark goes to the tasks in blocks of BLOCK
-items, one pass per block, each with the counts of all shingles that several items share (12 bytes a shingle). Edge cases: null and empty texts and items have no words and never match; an item of
+Whole texts are scanned and no document is shuffled; the benchmark goes to the tasks in blocks of BLOCK
+items, one at a time, each with the counts of all shingles that several items share (12 bytes a shingle). Where there
+are several blocks, one pass over all texts first finds the documents that hold any shingle of the benchmark, by a bitmap of
+at most 2**MAX_BITS bits, and only those, stored, are scanned block by block; what the bitmap passes wrongly costs time, not
+results. Edge cases: null and empty texts and items have no words and never match; an item of
 fewer than five words is one shingle of them all and must occur as it is; items are told apart by id and text, so equal
 texts of different ids and different texts of one id each match, and equal rows count once; items without an id count
 too and are reported as null; a document shorter than an item is one window; an empty benchmark or table gives no rows; extra columns are ignored.
@@ -20,19 +23,21 @@ from __future__ import annotations
 import itertools
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import map_rows, table
+from .common import map_rows, stored, table
 from .textual import as_bytes, shingle_hashes, word_hashes
 
 RADIUS, SIMILARITY, SHINGLE = 19, 0.8, 5
-#: Items that one pass holds in every task.
-BLOCK = 5000
+#: Items that one pass holds in every task, and bits of the bitmap of all shingles as a power of two, at most.
+BLOCK, MAX_BITS = 5000, 30
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 _NOT_WORD = np.ones(256, bool)
@@ -186,16 +191,58 @@ class BenchmarkIndex:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: the best window of each item that a document holds."""
-    return reduce(DataFrame.unionByName, (_scan(docs, i) for i in _indexes(benchmark, radius, similarity)))
+    rows = benchmark.select("item_id", "text").distinct()
+    parts = _n_blocks(rows)
+    if parts == 1:
+        return _scan(docs, next(_indexes(rows, radius, similarity)))
+    held = stored(_marked(docs.select("doc_id", "text"), rows).where("_hit"), "with-shingles")
+    # stored one by one, so the driver holds one index at a time
+    return reduce(DataFrame.unionByName, (stored(_scan(held, i), "leaks") for i in _indexes(rows, radius, similarity, parts)))
 
 
-def _indexes(benchmark: DataFrame, radius: int, similarity: float) -> list[BenchmarkIndex]:
-    rows = benchmark.select("item_id", "text").distinct()
-    n = rows.count()
-    parts = max(1, -(-n // BLOCK))
+def _n_blocks(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // BLOCK))
+
+
+def _indexes(rows: DataFrame, radius: int, similarity: float, parts: int = 1) -> Iterator[BenchmarkIndex]:
+    """Indexes of the blocks of distinct items, made as they are asked for."""
     shared = _shared(rows)
-    # a block's items come to the driver one block at a time
-    return [BenchmarkIndex([(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()], radius, similarity, shared) for p in range(parts)]
+    for p in range(parts):
+        items = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()  # about BLOCK items
+        yield BenchmarkIndex([(r.item_id, r.text) for r in items], radius, similarity, shared)
+
+
+def _marked(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents with _hit: whether a text may hold a shingle of the benchmark."""
+
+    def hashed(batch):
+        out = [(len(w), shingle_hashes(w, SHINGLE)) for w in (normal_words(t.as_py()) for t in batch.column(0))]
+        yield {"k": np.concatenate([np.full(len(s), min(n, SHINGLE)) for n, s in out] or [[]]).astype(np.int32), "h": np.concatenate([s for _, s in out] or [np.zeros(0, np.uint64)]).view(np.int64)}
+
+    shingles = map_rows(rows.select("text"), hashed, "k int, h bigint")
+    n, sizes = shingles.agg(F.count("*"), F.collect_set("k")).first()
+    bits = min(MAX_BITS, max(16, (16 * n).bit_length()))
+    at = shingles.select((F.col("h").bitwiseAND((1 << bits) - 1) + 1).alias("p"))
+    marks = np.zeros((1 << bits) // 8, np.uint8)
+    for r in at.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).toLocalIterator():  # one row of 4 KiB per 32768 bits
+        start = (r["b"] - 1) * len(r["m"])
+        marks[start : start + len(r["m"])] = np.frombuffer(bytes(r["m"]), np.uint8)[: len(marks) - start]
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def mark(batch):
+        names = [f.name for f in batch.schema]
+        hit = []
+        for t in batch.column(names.index("text")):
+            words = normal_words(t.as_py())
+            found = False
+            for k in sizes:
+                if len(words) >= k and not found:
+                    p = shingle_hashes(words, k) & np.uint64((1 << bits) - 1)
+                    found = bool((shared.value[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).any())
+            hit.append(found)
+        yield {c: batch.column(i) for i, c in enumerate(names)} | {"_hit": hit}
+
+    return map_rows(docs, mark, StructType([*docs.schema, StructField("_hit", BooleanType())]))
 
 
 def _shared(rows: DataFrame) -> Shared:
@@ -231,17 +278,26 @@ def _scan(docs: DataFrame, index: BenchmarkIndex) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that hold no item, with their own columns."""
-    for index in _indexes(benchmark, radius, similarity):
 
-        def clean(batch, index=index):
+    def without(held: DataFrame, index: BenchmarkIndex) -> DataFrame:
+        def clean(batch):
             import pyarrow as pa
 
             names = [f.name for f in batch.schema]
             own = batch.filter(pa.array([not index.matches(t.as_py()) for t in batch.column(names.index("text"))], pa.bool_()))
             yield {c: own.column(i) for i, c in enumerate(names)}
 
-        docs = map_rows(docs, clean, docs.schema)
-    return docs
+        return map_rows(held, clean, docs.schema)
+
+    rows = benchmark.select("item_id", "text").distinct()
+    parts = _n_blocks(rows)
+    if parts == 1:
+        return without(docs, next(_indexes(rows, radius, similarity)))
+    marked = stored(_marked(docs, rows), "marked")
+    held = marked.where("_hit").select(*docs.columns)
+    for index in _indexes(rows, radius, similarity, parts):
+        held = stored(without(held, index), "without-leaks")
+    return marked.where("NOT _hit").select(*docs.columns).union(held)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -344,7 +344,9 @@ def test_block_tables_find_all_within_the_radius():
 
 
 def test_empty_benchmark(spark):
-    assert decontaminate.leaks(frame(spark, ODD), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
+    none, items = spark.createDataFrame([], "item_id bigint, text string"), spark.createDataFrame([(1, prose(1, 20))], "item_id bigint, text string")
+    assert decontaminate.leaks(frame(spark, ODD), none).count() == 0 and decontaminate.without_leaks(frame(spark, ODD), none).count() == len(ODD)
+    assert decontaminate.leaks(frame(spark, []), items).count() == 0 and decontaminate.without_leaks(frame(spark, [None, ""]), items).count() == 2
 
 
 def test_items_of_one_id_and_without_an_id(spark):
@@ -367,10 +369,14 @@ def test_blocks_of_the_benchmark_agree(spark, monkeypatch):
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
     found = lambda: {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.similarity) for r in decontaminate.leaks(frame(spark, texts), benchmark, similarity=0.3).collect()}
     whole = found()
-    assert len(decontaminate._indexes(benchmark, 19, 0.8)) == 1 and len(whole) >= 12
+    kept = lambda: sorted(r.doc_id for r in decontaminate.without_leaks(frame(spark, [*texts, *ODD]), benchmark, similarity=0.3).collect())
+    clean = kept()
+    assert decontaminate._n_blocks(benchmark) == 1 and len(whole) >= 12 and len(clean) >= len(ODD)
     monkeypatch.setattr(decontaminate, "BLOCK", 4)
-    assert len(decontaminate._indexes(benchmark, 19, 0.8)) == 3 and found() == whole
-    one, own = decontaminate.BenchmarkIndex(items), decontaminate._indexes(benchmark, 19, 0.8)
+    assert decontaminate._n_blocks(benchmark) == 3 and found() == whole and kept() == clean
+    marked = decontaminate._marked(frame(spark, [*texts, *ODD]), benchmark).collect()
+    assert all(r._hit for r in marked if r.doc_id < len(texts)) and not any(r._hit for r in marked if r.doc_id >= len(texts))
+    one, own = decontaminate.BenchmarkIndex(items), list(decontaminate._indexes(benchmark, 19, 0.8, 3))
     shingles = np.concatenate([near_dedup.shingle_hashes(decontaminate.normal_words(t), 5) for t in texts])
     assert all((one.weights(shingles) == i.weights(shingles)).all() for i in own) and len(set(one.weights(shingles).tolist())) > 1
 

@@ -12,9 +12,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or an own folder where it is unset."""
+    """spark.checkpoint.dir of the session; where it is unset, an own folder of a local session, an error on a cluster."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = f"file://{tempfile.mkdtemp(prefix='terrarow-')}"

@@ -584,13 +584,16 @@ def test_near_duplicates_against_brute_force(spark):
     docs = frame(spark, texts)
     got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(docs).collect()}
     assert got == weighted_classes(texts, *near_dedup.document_frequencies(docs))
+    df, n = near_dedup.document_frequencies(docs.where("text RLIKE '^[a-j ]{300,}'"))
+    assert 3.9 < n < 12 and df.max() < 5  # four groups of 14 copies count about once each
     kept = near_dedup.one_of_each(docs)
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, c in got.items() if i == c}
 
 
 def test_samples_drop_few_pairs_of_the_similarity_wanted():
     n, p = near_dedup.SAMPLES, near_dedup.SIMILARITY
-    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_dedup.LEAST)) < 3e-5
+    below = lambda n, least: sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least))
+    assert below(n, near_dedup.LEAST) < 3e-5 and below(n * near_dedup.FURTHER, near_dedup.LEAST_FURTHER) < 2e-5
 
 
 def test_unlike_texts_of_one_id(spark):

@@ -48,3 +48,28 @@ def nearest_filled(cells: DataFrame, line: str, at: str, value: str) -> DataFram
     left, right = F.col(at) - F.col("_l.p"), F.col("_r.p") - F.col(at)
     filled = F.when(F.col("_r").isNull() | (left <= right), F.col("_l.v")).otherwise(F.col("_r.v"))
     return both.withColumn("filled", F.coalesce(value, filled)).drop("_l", "_r")
+
+
+def rasterised(boxes: DataFrame, size: int) -> DataFrame:
+    """Each box (xtl, ytl, xbr, ybr) once for every cell cx, cy of size pixels whose centre it holds."""
+    span = lambda lo, hi: F.sequence(F.floor((F.col(lo) + size // 2 - 1) / size).cast("int"), F.floor((F.col(hi) + size // 2 - 1) / size).cast("int") - 1)
+    holds = lambda lo, hi: F.floor((F.col(hi) + size // 2 - 1) / size) > F.floor((F.col(lo) + size // 2 - 1) / size)
+    return boxes.where(holds("xtl", "xbr") & holds("ytl", "ybr")).withColumn("cx", F.explode(span("xtl", "xbr"))).withColumn("cy", F.explode(span("ytl", "ybr")))
+
+
+def with_bleed(cells: DataFrame, x: str, y: str, flag: str, mask: str = "mask") -> DataFrame:
+    """x, y, mask: frame where flag holds, bleed where it holds for one of the eight cells around, else clear."""
+    step = F.explode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+    near = cells.where(F.col(flag)).withColumn("_s", step).select((F.col(x) + F.col("_s.dx")).alias(x), (F.col(y) + F.col("_s.dy")).alias(y)).distinct().withColumn("_near", F.lit(True))
+    return cells.join(near, [x, y], "left").select(x, y, F.when(F.col(flag), "frame").when(F.col("_near"), "bleed").otherwise("clear").alias(mask))
+
+
+def chip_boxes(boxes: DataFrame, size: int, least: float) -> DataFrame:
+    """Boxes clipped to the chips cx, cy of size pixels that they meet: centre x, y and w, h in chip units, where least of the area or more is left."""
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size).cast("int"), F.floor((F.col(hi) - 1) / size).cast("int")))
+    cut = boxes.withColumn("cx", span("xtl", "xbr")).withColumn("cy", span("ytl", "ybr"))
+    lo = lambda c, k: F.greatest(F.col(c), F.col(k) * size)
+    hi = lambda c, k: F.least(F.col(c), F.col(k) * size + size)
+    cut = cut.withColumns({"_a": lo("xtl", "cx"), "_b": lo("ytl", "cy"), "_c": hi("xbr", "cx"), "_d": hi("ybr", "cy")})
+    kept = cut.where((F.col("_c") - F.col("_a")) * (F.col("_d") - F.col("_b")) >= least * (F.col("xbr") - F.col("xtl")) * (F.col("ybr") - F.col("ytl")))
+    return kept.withColumns({"x": (F.col("_a") + F.col("_c")) / 2 / size - F.col("cx"), "y": (F.col("_b") + F.col("_d")) / 2 / size - F.col("cy"), "w": (F.col("_c") - F.col("_a")) / size, "h": (F.col("_d") - F.col("_b")) / size}).drop("_a", "_b", "_c", "_d")

@@ -94,3 +94,27 @@ def smoothed_histogram(df: DataFrame, keys: Sequence[str], value: Column, weight
     bins = df.groupBy(*keys, F.floor(value / width).cast("int").alias("bin")).agg(F.sum(weight).alias("w"))
     spread = bins.select(*keys, F.posexplode(F.array(*(F.lit(float(k)) for k in kernel))).alias("i", "k"), "bin", "w")
     return spread.select(*keys, (F.col("bin") + F.col("i") - half).alias("bin"), (F.col("w") * F.col("k")).alias("v")).groupBy(*keys, "bin").agg(F.sum("v").alias("smooth"))
+
+
+def interpolated(knots: DataFrame, at: DataFrame, keys: list[str], s: str, v: str) -> DataFrame:
+    """The rows of at (keys, s) with v: linear between the knots (keys, s, v) around s, held at the ends; null without knots."""
+    both = knots.select(*keys, s, F.col(v).alias("_v"), F.lit(False).alias("_at")).unionByName(at.select(*keys, s, F.lit(None).cast("double").alias("_v"), F.lit(True).alias("_at")))
+    w = Window.partitionBy(*keys).orderBy(s, "_at")
+    knot = F.when(F.col("_v").isNotNull(), F.struct(F.col(s).alias("s"), F.col("_v").alias("v")))
+    around = both.withColumns({"_a": F.last(knot, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first(knot, True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("_at")
+    a, b = F.col("_a"), F.col("_b")
+    between = a["v"] + (b["v"] - a["v"]) * (F.col(s) - a["s"]) / (b["s"] - a["s"])
+    return around.select(*keys, s, F.when(a.isNull(), b["v"]).when(b.isNull() | (a["s"] == F.col(s)), a["v"]).otherwise(between).alias(v))
+
+
+def split_at_passages(vines: DataFrame, passages: DataFrame, on: list[str], row: list[str], s: str, least: float, most: float) -> DataFrame:
+    """Vines with the piece of their row: behind the passages (on, a, z) of least to most length that have two vines or more on each side.
+
+    Vines on such a passage belong to no piece and are left out.
+    """
+    ends = vines.groupBy(*on, *row).agg(F.sort_array(F.collect_list(s)).alias("_s"))
+    cuts = ends.join(passages.where((F.col("z") - F.col("a") >= least) & (F.col("z") - F.col("a") <= most)), on)
+    n = lambda f: F.size(F.filter("_s", f))
+    cuts = cuts.where((n(lambda x: x <= F.col("a")) >= 2) & (n(lambda x: x >= F.col("z")) >= 2)).groupBy(*on, *row).agg(F.collect_list(F.struct("a", "z")).alias("_cuts"))
+    cut = vines.join(cuts, [*on, *row], "left").withColumn("_cuts", F.coalesce("_cuts", F.array()))
+    return cut.where(~F.exists("_cuts", lambda c: (F.col(s) > c["a"]) & (F.col(s) < c["z"]))).withColumn("piece", F.size(F.filter("_cuts", lambda c: F.col(s) >= c["z"]))).drop("_cuts")

@@ -24,10 +24,12 @@ def projects_without_annotations(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("SELECT o_custkey, count(*) AS n, coalesce(max(o_orderkey), 0) AS top, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM orders WHERE o_custkey IN (1, 2, 4, 7, 11) GROUP BY 1")
+@query("SELECT c_custkey AS o_custkey, count(o_orderkey) AS n, coalesce(max(o_orderkey), 0) AS top, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS ids FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def annotations_by_project(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where(F.col("o_custkey").isin(1, 2, 4, 7, 11))
-    return o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.coalesce(F.max("o_orderkey"), F.lit(0)).alias("top"), F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",").alias("ids"))
+    """The annotations of every project; an empty group where it has none."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("top"), F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",").alias("ids"))
+    none = {"n": F.coalesce("n", F.lit(0)), "top": F.coalesce("top", F.lit(0)), "ids": F.coalesce("ids", F.lit(""))}
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")).join(o, "o_custkey", "left").withColumns(none)
 
 
 @query("SELECT count(*) AS n, coalesce(max(o_orderkey), 0) AS top, coalesce(CAST(max(o_orderdate) AS VARCHAR), '') AS newest FROM orders")
@@ -48,10 +50,10 @@ def split_validation(spark, sf_dir):
     return tables.split_defects(split, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name")))
 
 
-@query("WITH m AS (SELECT block_no AS archive, strip_id AS place, 'd/' || strip_id || CASE WHEN strip_id % 5 = 0 THEN '.png' ELSE '.tif' END AS name, s1_cm AS size FROM strips), k AS (SELECT *, sum(size) OVER (PARTITION BY archive ORDER BY place) AS used FROM m WHERE name NOT LIKE '%.png') SELECT archive, place, CAST(used AS BIGINT) AS used FROM k WHERE used <= 20000")
+@query("WITH m AS (SELECT block_no AS upload, strip_id % 3 AS archive, strip_id AS place, 'd/' || strip_id || CASE WHEN strip_id % 5 = 0 THEN '.png' ELSE '.tif' END AS name, s1_cm AS size FROM strips) SELECT upload, archive, place, CAST(sum(size) OVER (PARTITION BY upload ORDER BY archive, place) AS BIGINT) AS used, sum(size) OVER (PARTITION BY upload) <= 60000 AS accepted FROM m WHERE name NOT LIKE '%.png'")
 def archive_budget(spark, sf_dir):
-    m = view(spark, sf_dir, "strips").select(F.col("block_no").alias("archive"), F.col("strip_id").alias("place"), F.concat(F.lit("d/"), "strip_id", F.when(F.col("strip_id") % 5 == 0, ".png").otherwise(".tif")).alias("name"), F.col("s1_cm").alias("size"))
-    return tables.archive_members(m, 20000).select("archive", "place", "used")
+    m = view(spark, sf_dir, "strips").select(F.col("block_no").alias("upload"), (F.col("strip_id") % 3).alias("archive"), F.col("strip_id").alias("place"), F.concat(F.lit("d/"), "strip_id", F.when(F.col("strip_id") % 5 == 0, ".png").otherwise(".tif")).alias("name"), F.col("s1_cm").alias("size"))
+    return tables.archive_members(m, 60000).select("upload", "archive", "place", "used", "accepted")
 
 
 @query("WITH u AS (SELECT DISTINCT block_id AS block FROM segments UNION SELECT 'V' || lpad(CAST(kind AS VARCHAR), 2, '0') FROM points) SELECT block FROM u")
@@ -139,10 +141,11 @@ def boundary_matching(spark, sf_dir):
 
 @query()
 def linked_ends(spark, sf_dir):
+    """Each end of a segment linked once over all candidates, the cheapest first, without cycles."""
     from .join_queries import linked_segments
 
-    links = linked_segments(spark, sf_dir).select((F.col("a") % 34).cast("int").alias("column"), "a", (F.col("a") % 2).alias("a_end"), "b", (F.col("b") % 2).alias("b_end"), F.col("turn").cast("double").alias("cost"))
-    return greedy.link_ends(links, "column")
+    links = linked_segments(spark, sf_dir).select("a", (F.col("a") % 2).alias("a_end"), "b", (F.col("b") % 2).alias("b_end"), F.col("turn").cast("double").alias("cost"))
+    return greedy.chains(links)
 
 
 @query()

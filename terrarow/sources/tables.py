@@ -39,11 +39,16 @@ def first_by_precedence(rows: DataFrame, name: str, *order: Column) -> DataFrame
 
 
 def archive_members(members: DataFrame, budget: int) -> DataFrame:
-    """Members (archive, place, name, size) that are tiles or annotation files within the shared byte budget, in order."""
+    """Members (upload, archive, place, name, size) that are tiles or annotation files, with what they and those before them use, and accepted.
+
+    All archives of an upload share the budget, in the order of archive and place; an upload beyond it is not accepted as
+    a whole, so its members all say so and none vanishes.
+    """
     name = F.col("name")
     fine = ~name.endswith("/") & ~name.contains("..") & ~name.startswith("__MACOSX") & ~basename(name).startswith(".") & name.rlike(r"(?i)\.(tiff?|xml)$")
-    before = F.sum("size").over(Window.partitionBy("archive").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    return members.where(fine).withColumn("used", before).where(F.col("used") <= budget)
+    by = Window.partitionBy("upload")
+    before = F.sum("size").over(by.orderBy("archive", "place").rowsBetween(Window.unboundedPreceding, 0))
+    return members.where(fine).withColumns({"used": before, "accepted": F.sum("size").over(by) <= budget})
 
 
 def file_kind(content: Column) -> Column:

@@ -1,6 +1,7 @@
 """Fixtures with known outcomes: grid, rows, geometry, clusters, kernels, sources, streaming."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -230,3 +231,58 @@ def test_merging_and_parallel_rows(spark):
     assert {r.id: r.merged for r in greedy.merge_collinear(spans, "g", 0.4, 1).collect()} == {1: 1, 2: 1, 3: 3}
     pairs = spark.createDataFrame([(1, 1, 2, 3.0, 2.0), (1, 2, 3, 2.0, 1.0)], "g int, a int, b int, density_a double, density_b double")
     assert [r.dropped for r in greedy.drop_parallel(pairs, "g").collect()] == [2]
+
+
+def test_chains_use_each_end_once_over_all_links(spark):
+    """Against plain greedy over all links, whatever group they are in; no cycle is closed."""
+    r = random.Random(4)
+    links = {}
+    for _ in range(400):
+        a, b = r.sample(range(60), 2)
+        links[a, r.randrange(2), b, r.randrange(2)] = float(r.randrange(40))
+    links = [(a, x, b, y, c) for (a, x, b, y), c in links.items()]
+    used, up, want = set(), {}, set()
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, x, b, y, c in sorted(links, key=lambda k: (k[4], k[0], k[2], k[1], k[3])):
+        if not {(a, x), (b, y)} & used and root(a) != root(b):
+            used |= {(a, x), (b, y)}
+            up[root(a)] = root(b)
+            want.add((a, x, b, y))
+    df = spark.createDataFrame(links, "a bigint, a_end int, b bigint, b_end int, cost double")
+    assert {(k.a, k.a_end, k.b, k.b_end) for k in greedy.chains(df).collect()} == want
+
+
+def test_linked_ends_and_rows_at_scale(spark):
+    """No end is used twice and no cycle closed; a physical row is a chain of linked segments."""
+    from terrarow.plans.registry import QUERIES
+
+    links = QUERIES["linked_ends"](spark, "/root/testdata/sf0.01").collect()
+    ends = [(k.a, k.a_end) for k in links] + [(k.b, k.b_end) for k in links]
+    assert len(ends) == len(set(ends)) > 1000
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for k in links:
+        assert root(k.a) != root(k.b)
+        up[root(k.a)] = root(k.b)
+
+
+def test_uploads_beyond_the_budget_lose_no_member(spark):
+    rows = [("u", "a", 1, "x/1.tif", 60), ("u", "b", 1, "x/2.XML", 50), ("u", "b", 2, "__MACOSX/3.tif", 900), ("u", "b", 3, "x/../4.tif", 900), ("v", "a", 1, "5.tiff", 100), ("v", "a", 2, "d/", 9), ("v", "a", 3, ".6.tif", 9)]
+    got = tables.archive_members(spark.createDataFrame(rows, "upload string, archive string, place int, name string, size int"), 100).collect()
+    assert sorted((r.upload, r.archive, r.place, r.used, r.accepted) for r in got) == [("u", "a", 1, 60, False), ("u", "b", 1, 110, False), ("v", "a", 1, 100, True)]
+
+
+def test_interpolation_without_knots_and_at_knots(spark):
+    knots = spark.createDataFrame([("a", 10, 1.0), ("a", 20, 3.0)], "k string, s int, v double")
+    at = spark.createDataFrame([("a", 5), ("a", 10), ("a", 15), ("a", 30), ("b", 1)], "k string, s int")
+    assert {(r.k, r.s): r.v for r in rows.interpolated(knots, at, ["k"], "s", "v").collect()} == {("a", 5): 1.0, ("a", 10): 1.0, ("a", 15): 2.0, ("a", 30): 3.0, ("b", 1): None}

@@ -12,10 +12,10 @@ from .join_queries import placed, renamed
 
 # evaluation
 
-_REAL, _FOUND = "box_id div 9 % 2 = 0", "box_id div 9 % 2 = 1"
+_REAL, _FOUND = "box_id div 720 % 2 = 0", "box_id div 720 % 2 = 1"
 _INTER = "(least(a.xbr, b.xbr) - greatest(a.xtl, b.xtl)) * (least(a.ybr, b.ybr) - greatest(a.ytl, b.ytl))"
 _MATCHED = f"""WITH RECURSIVE p AS (SELECT a.tile_no, a.box_id AS a, b.box_id AS b, {_INTER} AS i, (a.xbr - a.xtl) * (a.ybr - a.ytl) + (b.xbr - b.xtl) * (b.ybr - b.ytl) AS s
-  FROM boxes a JOIN boxes b ON a.tile_no = b.tile_no AND a.box_id // 9 % 2 = 0 AND b.box_id // 9 % 2 = 1 AND a.xtl < b.xbr AND b.xtl < a.xbr AND a.ytl < b.ybr AND b.ytl < a.ybr),
+  FROM boxes a JOIN boxes b ON a.tile_no = b.tile_no AND a.box_id // 720 % 2 = 0 AND b.box_id // 720 % 2 = 1 AND a.xtl < b.xbr AND b.xtl < a.xbr AND a.ytl < b.ybr AND b.ytl < a.ybr),
 q AS (SELECT tile_no, a, b, i / CAST(s - i AS DOUBLE) AS iou, row_number() OVER (PARTITION BY tile_no ORDER BY i / CAST(s - i AS DOUBLE) DESC, a, b) AS k FROM p WHERE i / CAST(s - i AS DOUBLE) >= 0.1),
 s(tile_no, k, ua, ub, v) AS (SELECT DISTINCT tile_no, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS DOUBLE[]) FROM boxes
   UNION ALL SELECT s.tile_no, q.k, CASE WHEN list_contains(ua, q.a) OR list_contains(ub, q.b) THEN ua ELSE list_append(ua, q.a) END,
@@ -36,7 +36,7 @@ def matched_boxes(spark, sf_dir):
     return greedy.matched(pairs.select("tile_no", F.col("box_id").alias("a"), F.col("box_id_b").alias("b"), "iou"), "iou").withColumn("iou", F.round("iou", 6))
 
 
-@query(_MATCHED + """, n AS (SELECT tile_no, count(*) FILTER (box_id // 9 % 2 = 0) AS n_real, count(*) FILTER (box_id // 9 % 2 = 1) AS n_found FROM boxes GROUP BY 1)
+@query(_MATCHED + """, n AS (SELECT tile_no, count(*) FILTER (box_id // 720 % 2 = 0) AS n_real, count(*) FILTER (box_id // 720 % 2 = 1) AS n_found FROM boxes GROUP BY 1)
 SELECT n.tile_no, CAST(len(ua) AS BIGINT) AS tp, n_found - len(ua) AS fp, n_real - len(ua) AS fn, round(len(ua) / CAST(greatest(n_found, 1) AS DOUBLE), 6) AS prec, round(len(ua) / CAST(greatest(n_real, 1) AS DOUBLE), 6) AS rec,
   round(2 * len(ua) / CAST(greatest(n_real + n_found, 1) AS DOUBLE), 6) AS f1, round(coalesce(list_sum(v) / len(v), 0), 5) AS mean_iou FROM n JOIN e ON e.tile_no = n.tile_no""")
 def evaluation_report(spark, sf_dir):

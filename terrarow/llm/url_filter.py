@@ -108,7 +108,8 @@ class Cascade:
         return out
 
 
-def _level(keys: DataFrame, n: int, seed: int, bits_per_key: float) -> Level:
+def bloom_level(keys: DataFrame, n: int, seed: int, bits_per_key: float) -> Level:
+    """A Bloom filter of the n keys of column key."""
     n_bits = max(64, math.ceil(n * bits_per_key / 8) * 8)
     level = Level(seed, n_bits, max(1, round(bits_per_key * math.log(2))))
     at = keys.select(F.explode(F.array(*level.positions(F.col("key")))).alias("p")).select((F.col("p") + 1).alias("p"))
@@ -139,7 +140,7 @@ def build_cascade(keys: DataFrame, listed: DataFrame, bits_per_key: float = 10.0
         inside, outside, levels = own.where("listed").select("key"), own.where(~F.col("listed")).select("key"), []
         n = total if n_shards == 1 else inside.count()
         while n:
-            levels.append(_level(inside, n, 1000 * s + 2 * len(levels), bits_per_key if levels else first_bits))
+            levels.append(bloom_level(inside, n, 1000 * s + 2 * len(levels), bits_per_key if levels else first_bits))
             inside, outside = outside.where(levels[-1].has(F.col("key"))), inside
             n = inside.count()
         shards.append(tuple(levels))

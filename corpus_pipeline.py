@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all rows that it gets, and is w
 before the next. The first four return the columns of documents: rejected documents go, of each near-duplicate class
 the smallest doc_id stays, documents that hold a benchmark item go, secrets are replaced by a mark. The last packs
 what is left. Null and empty texts are rejected by the first stage's word rule; an empty table passes all stages.
-SQL can't express the trained and iterative stages; tests hold run() against brute force.
+SQL can't express the trained and iterative stages; the tests of their operators hold each against brute force or held-out
+accuracy, and the pipeline's own tests check what its stages keep.
 """
 
 from __future__ import annotations

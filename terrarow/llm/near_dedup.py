@@ -5,9 +5,8 @@ texts are collapsed before they are compared, and df counts copies once: with co
 frequent for that very reason, and the few edits of a copy, being rare, would outweigh what it shares with its group.
 So texts that agree in one of SKETCHES keys, of two plain minhashes each, and in ALIKE of all these minhashes with one
 document that stands for the key (a passage alone doesn't make a copy), count as copies: a document that shares its
-most frequent such key with n - 1 others adds 1 / n to the df of its shingles and to N. Keys of fewer than 2 documents, or
-than a MAX_KEYS-th of all keys, are looked up as if their documents were no copies, so the table of keys is bounded.
-df is counted over all documents in SLOTS hashed slots, a table of fixed size: a frequent shingle stands out of its
+most frequent such key with n - 1 others adds 1 / n to the df of its shingles and to N, in a corpus of any size. df is
+counted over all documents in SLOTS hashed slots, a table of fixed size: a frequent shingle stands out of its
 slot, rare ones share the
 slots' mean. Improved consistent weighted sampling draws SAMPLES samples (their gamma and uniform variates come from
 hashed tables), BANDS bands of ROWS samples each.
@@ -58,8 +57,8 @@ FURTHER, LEAST_FURTHER = 7, 280
 _BLOCK, _PART = 2048, 128
 #: Bits of a Bloom filter in front of a join, at most; bits a key, at most and at least (with fewer the join goes without).
 FILTER_BITS, MOST_BITS, LEAST_BITS = 10 * (8 << 20), 10.0, 2.0
-#: Keys of two plain minhashes each, by which copies count once in document frequencies; keys that are looked up; a document's share is in units of 1 / _UNIT.
-SKETCHES, ALIKE, MAX_KEYS, _UNIT = 8, 9, 500_000, 1 << 24
+#: Keys of two plain minhashes each, by which copies count once in document frequencies; minhashes in which copies agree, at least; a document's share is in units of 1 / _UNIT.
+SKETCHES, ALIKE, _UNIT = 8, 9, 1 << 24
 _ODD = mix(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 _variates: list = []
@@ -141,49 +140,56 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / total if total else 0.0
 
 
-def _frequent_keys(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys that several documents share, of how many, and one's bytes; MAX_KEYS of them at most."""
+def _copies(docs: DataFrame) -> DataFrame:
+    """text_key, n: texts that count as copies, and of how many documents; text_key: 128 bits of the text's digest.
+
+    Equal texts are collapsed first, with their number; keys and marks, no texts, are shuffled.
+    """
 
     def run(batch):
-        words = [word_hashes(as_bytes(t.as_py()))[0] for t in batch.column(0)]
-        found = [sketch(shingle_hashes(w, SHINGLE)) for w in words if len(w)]
+        found = [sketch(shingle_hashes(w, SHINGLE)) if len(w) else (np.zeros(0, np.int64), np.zeros(0, np.uint8)) for w in (word_hashes(as_bytes(t.as_py()))[0] for t in batch.column(0))]
         # four mixed bytes in front, so that the smallest of a key is any of its documents
-        bytes_ = [mix(np.frombuffer(b.tobytes(), np.uint64)).sum().tobytes()[:4] + b.tobytes() for _, b in found]
-        yield {"v": np.concatenate([k for k, _ in found] or [np.zeros(0, np.int64)]), "m": [b for b in bytes_ for _ in range(SKETCHES)]}
+        marks = [mix(np.frombuffer(b.tobytes(), np.uint64)).sum().tobytes()[:4] + b.tobytes() if len(b) else b"" for _, b in found]
+        yield {"text_key": batch.column(1), "v": [k for k, _ in found], "mark": marks}
+
+    sketched = map_rows(docs.select("text", _text_key()), run, "text_key binary, v array<bigint>, mark binary")
+    texts = stored(sketched.groupBy("text_key").agg(F.count("*").alias("c"), F.min("v").alias("v"), F.min("mark").alias("mark")), "sketches")
+    keys = texts.select("text_key", "c", "mark", F.explode("v").alias("v"))
+    met = stored(keys.groupBy("v").agg(F.sum("c").alias("n"), F.min("mark").alias("of")).where("n > 1"), "sketch-groups")
+    same = lambda i: (F.substring("mark", i, 1) == F.substring("of", i, 1)).cast("int")
+    alike = sum((same(i) for i in range(6, 5 + 2 * SKETCHES)), same(5))
+    return stored(_passing(keys, "v", _level(met, "v", 4)).join(met, "v").where(alike >= ALIKE).groupBy("text_key").agg(F.max("n").alias("n")), "copies")
 
-    least = max(2, -(-docs.count() * SKETCHES // MAX_KEYS))
-    rows = map_rows(docs.select("text"), run, "v bigint, m binary").groupBy("v").agg(F.count("*").alias("n"), F.min("m").alias("m")).where(F.col("n") >= least).orderBy("v").toArrow()
-    return rows.column("v").to_numpy(), rows.column("n").to_numpy(), np.frombuffer(b"".join(m[4:] for m in rows.column("m").to_pylist()), np.uint8).reshape(-1, 2 * SKETCHES)
+
+def _text_key() -> Column:
+    return F.substring(_key(F.col("text")), 1, 16).alias("text_key")
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, float]:
     """Documents per hashed shingle slot (fixed size), and their number, copies counted once."""
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent_keys(docs))
-
-    def share(shingles) -> int:
-        keys, counts, marks = shared.value
-        if not len(keys):
-            return _UNIT
-        own, mark = sketch(shingles)
-        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        copy = (keys[at] == own) & ((marks[at] == mark).sum(1) >= ALIKE)
-        return max(1, _UNIT // int(np.where(copy, counts[at], 1).max()))
+    copies = _copies(docs)
+    # only texts that may be copies are shuffled to learn of how many
+    level = _level(copies, "text_key", 5)
+    every = docs.select("text", _text_key())
+    maybe = _passing(every, "text_key", level, costly=True).join(copies, "text_key", "left").select("text", F.coalesce("n", F.lit(1)).alias("n"))
+    single = every.where(~F.exists(F.array("text_key"), level.has)).select("text", F.lit(1).cast("bigint").alias("n")) if level else None
 
     def count(batches):
         df = np.zeros(SLOTS, np.int64)
         total = 0
         for batch in batches:
-            for t in batch.column(0):
+            for t, n in zip(batch.column(0), batch.column(1).to_pylist()):
                 shingles = shingle_hashes(word_hashes(as_bytes(t.as_py()))[0], SHINGLE)
                 if len(shingles):
                     slots = np.unique(slot_of(shingles))
-                    part = share(shingles)
+                    part = max(1, _UNIT // n)
                     df[slots] += part
                     total += part
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[total, df[at]])], ["slot", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    weighed = maybe.union(single) if single is not None else maybe
+    rows = weighed.mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     slots, n = rows.column("slot").to_numpy(), rows.column("n").to_numpy() / _UNIT
     df = np.zeros(SLOTS)
     df[slots[slots >= 0]] = n[slots >= 0]

@@ -590,6 +590,37 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, c in got.items() if i == c}
 
 
+def plain_frequencies(texts):
+    """df by slot and N, each document's share by the copies of all."""
+    shingles = [near_dedup.shingle_hashes(textual.word_hashes(textual.as_bytes(t))[0], 5) for t in texts]
+    groups, df, total = collections.defaultdict(list), np.zeros(near_dedup.SLOTS), 0
+    sketches = [near_dedup.sketch(s) if len(s) else None for s in shingles]
+    for got in filter(None, sketches):
+        front = textual.mix(np.frombuffer(got[1].tobytes(), np.uint64)).sum().tobytes()[:4]
+        for k in got[0].tolist():
+            groups[k].append((front + got[1].tobytes(), got[1]))
+    stands = {k: min(g, key=lambda x: x[0])[1] for k, g in groups.items()}
+    for s, got in zip(shingles, sketches):
+        if got:
+            n = max([1, *(len(groups[k]) for k in got[0].tolist() if (stands[k] == got[1]).sum() >= near_dedup.ALIKE)])
+            df[np.unique(near_dedup.slot_of(s))] += (near_dedup._UNIT // n) / near_dedup._UNIT
+            total += (near_dedup._UNIT // n) / near_dedup._UNIT
+    return df, total
+
+
+@pytest.mark.parametrize("bits", [near_dedup.FILTER_BITS, 8])
+def test_frequencies_count_copies_once_at_any_size(spark, monkeypatch, bits):
+    """Also without Bloom filters in front of the joins; pairs, and one group that is most of the corpus."""
+    monkeypatch.setattr(near_dedup, "FILTER_BITS", bits)
+    r = random.Random(12)
+    edited = lambda text: " ".join(w if r.random() > 0.02 else "edit" for w in text.split())
+    big = prose(900, 150)
+    texts = [*ODD, *(edited(big) for _ in range(120)), *[big] * 30, *(t for i in range(20) for t in (prose(901 + i, 90), edited(prose(901 + i, 90))))]
+    df, n = near_dedup.document_frequencies(frame(spark, texts))
+    want, total = plain_frequencies(texts)
+    assert np.allclose(df, want) and abs(n - total) < 1e-6 and n < 90
+
+
 def test_samples_drop_few_pairs_of_the_similarity_wanted():
     n, p = near_dedup.SAMPLES, near_dedup.SIMILARITY
     below = lambda n, least: sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least))

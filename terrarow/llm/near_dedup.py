@@ -158,7 +158,7 @@ def _copies(docs: DataFrame) -> DataFrame:
     met = stored(keys.groupBy("v").agg(F.sum("c").alias("n"), F.min("mark").alias("of")).where("n > 1"), "sketch-groups")
     same = lambda i: (F.substring("mark", i, 1) == F.substring("of", i, 1)).cast("int")
     alike = sum((same(i) for i in range(6, 5 + 2 * SKETCHES)), same(5))
-    return stored(_passing(keys, "v", _level(met, "v", 4)).join(met, "v").where(alike >= ALIKE).groupBy("text_key").agg(F.max("n").alias("n")), "copies")
+    return stored(keys.join(met, "v").where(alike >= ALIKE).groupBy("text_key").agg(F.max("n").alias("n")), "copies")
 
 
 def _text_key() -> Column:
@@ -172,7 +172,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, float]:
     level = _level(copies, "text_key", 5)
     every = docs.select("text", _text_key())
     maybe = _passing(every, "text_key", level, costly=True).join(copies, "text_key", "left").select("text", F.coalesce("n", F.lit(1)).alias("n"))
-    single = every.where(~F.exists(F.array("text_key"), level.has)).select("text", F.lit(1).cast("bigint").alias("n")) if level else None
+    single = _passing(every, "text_key", level, costly=True, others=True).select("text", F.lit(1).cast("bigint").alias("n"))
 
     def count(batches):
         df = np.zeros(SLOTS, np.int64)
@@ -188,8 +188,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, float]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[total, df[at]])], ["slot", "n"])
 
-    weighed = maybe.union(single) if single is not None else maybe
-    rows = weighed.mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    rows = maybe.union(single).mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     slots, n = rows.column("slot").to_numpy(), rows.column("n").to_numpy() / _UNIT
     df = np.zeros(SLOTS)
     df[slots[slots >= 0]] = n[slots >= 0]
@@ -374,11 +373,18 @@ def _level(keys: DataFrame, column: str, seed: int) -> url_filter.Level | None:
     return url_filter.bloom_level(keys.select(F.col(column).alias("key")), n, seed, each) if each >= LEAST_BITS else None
 
 
-def _passing(rows: DataFrame, column: str, level: url_filter.Level | None, costly: bool = False) -> DataFrame:
-    """The rows whose column passes the filter. costly: exists() makes the column once; a filter that is pushed below it would make it for each bit that is looked up."""
+def _has(level: url_filter.Level, key: Column) -> Column:
+    """Whether the filter may hold a key; its bits stand in the plan once, as each copy also goes into the plan's descriptions."""
+    bit = lambda p: F.getbit(F.conv(F.hex(F.substring(F.lit(level.bits), (p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int"), (p % 8).cast("int")) == 1
+    return F.forall(F.array(*level.positions(key)), bit)
+
+
+def _passing(rows: DataFrame, column: str, level: url_filter.Level | None, costly: bool = False, others: bool = False) -> DataFrame:
+    """The rows whose column passes the filter, or the others. costly: exists() makes the column once; a filter that is pushed below it would make it for each bit that is looked up."""
     if not level:
-        return rows
-    return rows.where(F.exists(F.array(column), level.has) if costly else level.has(F.col(column)))
+        return rows.limit(0) if others else rows
+    found = F.exists(F.array(column), lambda k: _has(level, k)) if costly else _has(level, F.col(column))
+    return rows.where(~found if others else found)
 
 
 def _classes(docs: DataFrame, least: float) -> DataFrame:

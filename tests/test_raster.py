@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from terrarow.operators import territory
+from terrarow.operators import canopies, territory
 
 
 def cells_of(spark, vine, barrier, valid=None):
@@ -98,3 +98,89 @@ def test_no_cells_repeated_lines_and_nulls(spark):
     assert territory.territories(spark.createDataFrame([], schema), 1, 1, 1).count() == 0
     rows = [(0, 0, None, True), (0, 0, True, True), (1, 0, True, True), (1, 0, True, False), (2, 0, True, None), (None, 0, True, True)]
     assert found(territory.territories(spark.createDataFrame(rows, schema), 1, 1, 1)) == {(0, 0): 0}
+
+
+def canopy_cells(spark, *masks):
+    rows = [(i, int(x), int(y)) for i, m in enumerate(masks) for y, x in zip(*np.nonzero(m))]
+    return spark.createDataFrame(rows, "canopy int, x int, y int")
+
+
+def blobs(seed):
+    """Discs that overlap, with some cells knocked out."""
+    r = np.random.default_rng(seed)
+    y, x = np.mgrid[:40, :60]
+    m = np.zeros((40, 60), bool)
+    for cx, cy, s in ((12, 14, 9), (28, 18, 8), (44, 22, 10), (30, 33, 5)):
+        m |= (x - cx) ** 2 + (y - cy) ** 2 <= s * s
+    return m & (r.random(m.shape) < 0.995)
+
+
+def brute_heights(m):
+    p = np.pad(m, 1)
+    out = np.argwhere(~p)
+    return {(int(x) - 1, int(y) - 1): int(((out - (y, x)) ** 2).sum(1).min()) for y, x in np.argwhere(p)}
+
+
+def brute_opening(m):
+    p = np.pad(m, 1)
+    core = {(y, x) for y, x in np.argwhere(m) if all(p[y + 1 + a, x + 1 + b] for a, b in FOUR)}
+    return {(int(x + b), int(y + a)) for y, x in core for a, b in [*FOUR, (0, 0)]}
+
+
+def test_opening_and_heights_against_brute_force(spark):
+    masks = [blobs(1), np.ones((5, 9), bool), np.random.default_rng(5).random((20, 20)) < 0.8]
+    cells = canopy_cells(spark, *masks)
+    got = {(r.canopy, r.x, r.y) for r in canopies.opened(cells.union(cells)).collect()}
+    assert got == {(i, *p) for i, m in enumerate(masks) for p in brute_opening(m)}
+    high = {(r.canopy, r.x, r.y): r.height2 for r in canopies.heights(cells, columns=7).collect()}
+    assert high == {(i, *p): h for i, m in enumerate(masks) for p, h in brute_heights(m).items()}
+
+
+def test_touching_canopies_are_parted(spark):
+    m = blobs(2)
+    small, neck = np.ones((6, 7), bool), np.zeros((15, 40), bool)
+    neck[:, :15] = neck[:, 25:] = True
+    neck[7, :] = True
+    df = canopies.parted(canopy_cells(spark, m, small, neck), 5, 3.0, compact=20)
+    parts = {(r.canopy, r.x, r.y): r.part for r in df.collect()}
+
+    opening = brute_opening(m)
+    mask = np.zeros_like(m)
+    for x, y in opening:
+        mask[y, x] = True
+    high = brute_heights(mask)
+    tops = {p for p, h in high.items() if h > 9 and all(high.get((p[0] + a, p[1] + b), 0) <= h for a in range(-5, 6) for b in range(-5, 6))}
+    peak_mask = np.zeros_like(m)
+    for x, y in tops:
+        peak_mask[y, x] = True
+    marker = {}
+    for y, x in sorted((y, x) for x, y in tops):
+        if (y, x) not in marker:
+            marker |= {p: (y, x) for p in flood(peak_mask, [(y, x)], EIGHT)}
+    assert len(set(marker.values())) >= 3
+    want = {}
+    for (y, x), name in marker.items():
+        for a in range(-2, 3):
+            for b in range(-2, 3):
+                if a * a + b * b <= 5 and (x + b, y + a) in opening:
+                    want[x + b, y + a] = max(name, want.get((x + b, y + a), (-1, -1)))
+    edge = want
+    while edge:
+        step = {}
+        for (x, y), name in edge.items():
+            for a, b in FOUR:
+                if (x + b, y + a) in opening and (x + b, y + a) not in want:
+                    step[x + b, y + a] = min(name, step.get((x + b, y + a), (99, 99)))
+        want |= step
+        edge = step
+    assert {(x, y): (p.y, p.x) for (c, x, y), p in parts.items() if c == 0} == want
+    assert {p for (c, x, y), p in parts.items() if c == 1} == {(1, 0, 0)} and sum(c == 1 for c, _, _ in parts) == 42
+    assert len({p for (c, x, y), p in parts.items() if c == 2}) == 2 and (2, 20, 7) not in parts  # the neck of one cell is gone
+
+
+def test_no_canopies_and_sizes(spark):
+    none = spark.createDataFrame([], "canopy int, x int, y int")
+    assert canopies.parted(none, 5, 3.0).count() == 0
+    cells = canopy_cells(spark, np.ones((5, 5), bool), np.ones((9, 9), bool), np.ones((12, 12), bool))
+    got = canopies.parted(cells, 5, 9.0, 50, 100, compact=99).groupBy("canopy").count().collect()
+    assert [(r.canopy, r["count"]) for r in got] == [(1, 81)]

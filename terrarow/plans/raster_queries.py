@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terrarow.operators import territory
+from terrarow.operators import canopies, territory
 
-from .base import query, view
+from .base import query, table, view
 
 # densest twentieth of each line is vine, its emptiest twentieth a barrier
 _GROUND = "h AS (SELECT col AS x, row_ AS y, sum(v) AS v FROM cells GROUP BY ALL), q AS (SELECT x, y, percent_rank() OVER (PARTITION BY y ORDER BY v, x) AS p FROM h), g AS (SELECT x, y, y * 4294967296 + x AS id, p >= 0.93 AS vine FROM q WHERE p > 0.05)"
@@ -33,3 +33,36 @@ def vine_territories(spark, sf_dir):
 def territory_order(spark, sf_dir):
     """The same territories numbered from north to south, then west to east."""
     return territory.north_west_order(_territories(spark, sf_dir))
+
+
+# three parts make one canopy: their boxes at places in a frame of 40 by 30, in pixels of two
+_CANOPY = "b AS (SELECT p_partkey // 3 AS canopy, (p_partkey * 37) % 40 AS xtl, (p_partkey * 91) % 30 AS ytl, 10 + p_size AS w, 10 + (p_size * 7) % 30 AS h FROM part), c AS (SELECT DISTINCT canopy, u.x, v.y FROM b, LATERAL (SELECT unnest(range(CAST(xtl // 2 AS INTEGER), CAST((xtl + w) // 2 AS INTEGER))) AS x) u, LATERAL (SELECT unnest(range(CAST(ytl // 2 AS INTEGER), CAST((ytl + h) // 2 AS INTEGER))) AS y) v)"
+_OPENED = "core AS (SELECT c.* FROM c SEMI JOIN c l ON l.canopy = c.canopy AND l.y = c.y AND l.x = c.x - 1 SEMI JOIN c r ON r.canopy = c.canopy AND r.y = c.y AND r.x = c.x + 1 SEMI JOIN c u ON u.canopy = c.canopy AND u.x = c.x AND u.y = c.y - 1 SEMI JOIN c d ON d.canopy = c.canopy AND d.x = c.x AND d.y = c.y + 1), m AS (SELECT DISTINCT canopy, x + dx AS x, y + dy AS y FROM core, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy))"
+
+
+def _heights(of):
+    """Squared distances to the nearest place beside a cell that is none, by trying all of them in the canopy's frame."""
+    return f"rim AS (SELECT DISTINCT canopy, x + dx AS x, y + dy AS y FROM {of}, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy) EXCEPT SELECT canopy, x, y FROM {of}), z AS (SELECT {of}.canopy, {of}.x, {of}.y, min(({of}.x - rim.x) * ({of}.x - rim.x) + ({of}.y - rim.y) * ({of}.y - rim.y)) AS height2 FROM {of} JOIN rim USING (canopy) GROUP BY ALL)"
+
+
+_MARKS = "k AS (SELECT * FROM z WHERE height2 > 9 AND height2 = (SELECT max(o.height2) FROM z o WHERE o.canopy = z.canopy AND abs(o.x - z.x) <= 5 AND abs(o.y - z.y) <= 5)), pl AS (SELECT canopy, x, y, y * 1000 + x AS l FROM k UNION SELECT k.canopy, k.x, k.y, pl.l FROM pl JOIN k ON k.canopy = pl.canopy AND abs(k.x - pl.x) <= 1 AND abs(k.y - pl.y) <= 1), mk AS (SELECT canopy, x, y, min(l) AS marker FROM pl GROUP BY ALL), sv AS (SELECT canopy FROM mk GROUP BY 1 HAVING count(DISTINCT marker) > 1)"
+_FLOOD = "sd AS (SELECT m.canopy, m.x, m.y, max(marker) AS marker FROM mk JOIN sv USING (canopy) JOIN m ON m.canopy = mk.canopy AND (m.x - mk.x) * (m.x - mk.x) + (m.y - mk.y) * (m.y - mk.y) <= 5 GROUP BY ALL), fl AS (SELECT canopy, x, y, marker, 0 AS hop FROM sd UNION SELECT m.canopy, m.x, m.y, fl.marker, fl.hop + 1 FROM fl JOIN m ON m.canopy = fl.canopy AND abs(m.x - fl.x) + abs(m.y - fl.y) = 1 ANTI JOIN sd ON sd.canopy = m.canopy AND sd.x = m.x AND sd.y = m.y WHERE fl.hop < 60), e AS (SELECT canopy, x, y, arg_min(marker, hop * 1000000 + marker) AS part FROM fl GROUP BY ALL UNION ALL SELECT canopy, x, y, min(y * 1000 + x) OVER (PARTITION BY canopy) FROM m WHERE canopy NOT IN (SELECT canopy FROM sv))"
+
+
+def _canopy_cells(spark, sf_dir):
+    boxes = table(spark, sf_dir, "part").selectExpr("p_partkey div 3 as canopy", "cast((p_partkey * 37) % 40 as int) as xtl", "cast((p_partkey * 91) % 30 as int) as ytl", "10 + p_size as w", "10 + (p_size * 7) % 30 as h")
+    span = lambda at, side: F.explode(F.expr(f"sequence(cast({at} div 2 as int), cast(({at} + {side}) div 2 as int) - 1)"))
+    return boxes.withColumn("x", span("xtl", "w")).withColumn("y", span("ytl", "h")).select("canopy", "x", "y").distinct()
+
+
+@query(f"WITH {_CANOPY}, {_heights('c')} SELECT * FROM z")
+def canopy_heights(spark, sf_dir):
+    """Exact squared distance of each canopy cell to what is outside its canopy."""
+    return canopies.heights(_canopy_cells(spark, sf_dir)).withColumn("height2", F.col("height2").cast("bigint"))
+
+
+@query(f"WITH RECURSIVE {_CANOPY}, {_OPENED}, {_heights('m')}, {_MARKS}, {_FLOOD} SELECT canopy, CAST(part % 1000 AS INTEGER) AS part_x, CAST(part // 1000 AS INTEGER) AS part_y, count(*) AS cells, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM e GROUP BY ALL")
+def canopy_parts(spark, sf_dir):
+    """Canopies parted where three boxes touch: cells and their place sums by part."""
+    cells = canopies.parted(_canopy_cells(spark, sf_dir), 5, 3.0)
+    return cells.groupBy("part").agg(F.count("*").alias("cells"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y")).select("part.canopy", F.col("part.x").alias("part_x"), F.col("part.y").alias("part_y"), "cells", "sum_x", "sum_y")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terrarow.operators import canopies, territory
+from terrarow.operators import canopies, mosaic, territory
 
 from .base import query, table, view
 
@@ -66,3 +66,37 @@ def canopy_parts(spark, sf_dir):
     """Canopies parted where three boxes touch: cells and their place sums by part."""
     cells = canopies.parted(_canopy_cells(spark, sf_dir), 5, 3.0)
     return cells.groupBy("part").agg(F.count("*").alias("cells"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y")).select("part.canopy", F.col("part.x").alias("part_x"), F.col("part.y").alias("part_y"), "cells", "sum_x", "sum_y")
+
+
+# a raster of 16 by 16 pixels for each supplier: on the common grid (so the first), of larger pixels, or slanted
+_RASTERS = ["s_suppkey as raster", "s_suppkey as place", "35 as zone", "16 as width", "16 as height"]
+
+
+def _numbers():
+    """The six numbers of each raster, in fractions of two: exact in both engines."""
+    c = "CAST({} AS DOUBLE)"
+    kind = lambda one, two, three: c.format(f"CASE s_suppkey % 3 WHEN 0 THEN {one} WHEN 1 THEN {two} ELSE {three} END")
+    whole = "floor(s_suppkey / 10)"
+    return [f"{kind('0.5', '0.75', '0.5')} AS a", f"{kind('0', '0', '0.25')} AS b", f"{c.format('628992 + s_suppkey % 10 * 6')} + {kind('0', '0.3125', '0.125')} AS c", f"{kind('0', '0', '0.25')} AS d", f"{kind('-0.5', '-0.75', '-0.5')} AS e", f"{c.format(f'5221222 - {whole} * 6')} + {kind('0', '0.1875', '0.375')} AS f"]
+
+
+_PIXELS = ["l_suppkey as raster", "l_partkey % 16 as px", "l_orderkey % 16 as py", "cast(l_quantity as int) as v"]
+_WARP = f"r AS (SELECT s_suppkey AS raster, 16 AS n, {', '.join(_numbers())} FROM supplier), k AS (SELECT raster, unnest([c, c + 16 * a, c + 16 * b, c + 16 * a + 16 * b]) AS x, unnest([f, f + 16 * d, f + 16 * e, f + 16 * d + 16 * e]) AS y FROM r), z AS (SELECT 628992 + floor((min(x) - 628992) * 2) / 2 AS x0, 5221222 + ceil((max(y) - 5221222) * 2) / 2 AS y0 FROM k), w AS (SELECT raster, CAST(floor(min(x - x0) * 2) AS BIGINT) AS c0, CAST(ceil(max(x - x0) * 2) AS BIGINT) AS c1, CAST(floor(min(y0 - y) * 2) AS BIGINT) AS r0, CAST(ceil(max(y0 - y) * 2) AS BIGINT) AS r1 FROM k, z GROUP BY 1), g AS (SELECT raster, col, unnest(range(r0, r1)) AS row FROM (SELECT *, unnest(range(c0, c1)) AS col FROM w)), m AS (SELECT raster, col, row, x0 + (col + 0.5) / 2 - c AS dx, y0 - (row + 0.5) / 2 - f AS dy, a, b, d, e FROM g JOIN r USING (raster), z), p AS (SELECT raster, col, row, CAST(floor((e * dx - b * dy) / (a * e - b * d)) AS BIGINT) AS px, CAST(floor((a * dy - d * dx) / (a * e - b * d)) AS BIGINT) AS py FROM m), v AS (SELECT l_suppkey AS raster, l_partkey % 16 AS px, l_orderkey % 16 AS py, max(CAST(l_quantity AS INTEGER)) AS v FROM lineitem GROUP BY ALL)"
+
+
+@query(f"WITH {_WARP} SELECT col, row, arg_max(coalesce(v, 0), raster) AS v FROM p LEFT JOIN v USING (raster, px, py) WHERE px BETWEEN 0 AND 15 AND py BETWEEN 0 AND 15 GROUP BY ALL")
+def warped_mosaic(spark, sf_dir):
+    """Rasters of unlike grids on one grid, the last on top; only cells whose middle a raster holds."""
+    return _warped(spark, sf_dir, False)
+
+
+@query(f"WITH {_WARP} SELECT col, row, arg_max(coalesce(v, 0), raster) AS v FROM p LEFT JOIN v USING (raster, px, py) GROUP BY ALL")
+def warped_windows(spark, sf_dir):
+    """The same with every raster's whole window set."""
+    return _warped(spark, sf_dir, True)
+
+
+def _warped(spark, sf_dir, over):
+    rasters = table(spark, sf_dir, "supplier").selectExpr(*_RASTERS, *_numbers())
+    pixels = table(spark, sf_dir, "lineitem").selectExpr(*_PIXELS).groupBy("raster", "px", "py").agg(F.max("v").alias("v"))
+    return mosaic.mosaic(rasters, pixels, ["v"], mosaic.grid_of(rasters), over)

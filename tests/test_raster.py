@@ -1,9 +1,11 @@
 """Territories and canopies against brute force on small rasters."""
 
+import math
+
 import numpy as np
 import pytest
 
-from terrarow.operators import canopies, territory
+from terrarow.operators import canopies, mosaic, territory
 
 
 def cells_of(spark, vine, barrier, valid=None):
@@ -184,3 +186,52 @@ def test_no_canopies_and_sizes(spark):
     cells = canopy_cells(spark, np.ones((5, 5), bool), np.ones((9, 9), bool), np.ones((12, 12), bool))
     got = canopies.parted(cells, 5, 9.0, 50, 100, compact=99).groupBy("canopy").count().collect()
     assert [(r.canopy, r["count"]) for r in got] == [(1, 81)]
+
+
+SHAPE = "raster int, place int, zone int, a double, b double, c double, d double, e double, f double, width int, height int"
+
+
+def utm(lon, lat, zone):
+    """Easting and northing by Krueger's series to the third order, in plain floats."""
+    n = 1 / 298.257223563 / (2 - 1 / 298.257223563)
+    s = 2 * math.sqrt(n) / (1 + n)
+    t = math.sinh(math.atanh(math.sin(math.radians(lat))) - s * math.atanh(s * math.sin(math.radians(lat))))
+    lam = math.radians(lon - (zone * 6 - 183))
+    xi, eta = math.atan2(t, math.cos(lam)), math.asinh(math.sin(lam) / math.hypot(t, math.cos(lam)))
+    al = (n / 2 - 2 / 3 * n**2 + 5 / 16 * n**3, 13 / 48 * n**2 - 3 / 5 * n**3, 61 / 240 * n**3)
+    r = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    e = eta + sum(k * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, k in enumerate(al, 1))
+    return 500000 + r * e, r * (xi + sum(k * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, k in enumerate(al, 1)))
+
+
+def full(spark, rasters):
+    rows = [(r[0], x, y, r[0] * 1000 + y * r[9] + x) for r in rasters for y in range(r[10]) for x in range(r[9])]
+    return spark.createDataFrame(rows, "raster int, px int, py int, v int")
+
+
+def test_aligned_rasters_are_copied_and_the_last_is_on_top(spark):
+    rasters = [(1, 1, 35, 0.5, 0.0, 100.0, 0.0, -0.5, 200.0, 4, 3), (2, 2, 35, 0.5, 0.0, 101.0, 0.0, -0.5, 199.5, 4, 3)]
+    df = spark.createDataFrame([*rasters, (3, 3, 35, None, 0.0, 0.0, 0.0, -0.5, 0.0, 9, 9)], SHAPE)
+    grid = mosaic.grid_of(df)
+    assert grid == mosaic.Grid(35, 100.0, 200.0, 0.5, 0.5, 6, 4)
+    got = {(r.col, r.row): r.v for r in mosaic.mosaic(df, full(spark, rasters), ["v"], grid).collect()}
+    want = {(c + i * 2, r + i): (i + 1) * 1000 + r * 4 + c for i in (0, 1) for r in range(3) for c in range(4)}
+    assert got == want
+    assert mosaic.grid_of(df.where("raster > 2")) is None and mosaic.mosaic(df.limit(0), full(spark, rasters), ["v"], grid).count() == 0
+
+
+def test_a_raster_in_degrees_lands_where_its_pixels_are(spark):
+    east, north = utm(28.9, 47.1, 35)
+    step = 1e-5
+    rasters = [(1, 1, 35, 0.5, 0.0, east - 10, 0.0, -0.5, north + 5, 30, 30), (2, 2, 0, step, 0.0, 28.9, 0.0, -step, 47.1, 12, 9)]
+    df = spark.createDataFrame(rasters, SHAPE)
+    grid = mosaic.grid_of(df)
+    assert grid.zone == 35 and (grid.x, grid.y) == (0.5, 0.5) and abs((grid.x0 - (east - 10)) % 0.5) < 1e-6
+    got = {(r.col, r.row): r.v for r in mosaic.mosaic(df, full(spark, rasters), ["v"], grid, over=False).collect()}
+    for y in range(9):
+        for x in range(12):
+            e, n = utm(28.9 + (x + 0.5) * step, 47.1 - (y + 0.5) * step, 35)
+            assert got[math.floor((e - grid.x0) / 0.5), math.floor((grid.y0 - n) / 0.5)] == 2000 + y * 12 + x
+    assert sum(v < 2000 for v in got.values()) > 600
+    over = mosaic.mosaic(df, full(spark, rasters), ["v"], grid)
+    assert over.where("v = 0").count() > 0 and over.count() >= len(got)

@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from terrarow.operators import canopies, mosaic, territory
+from terrarow.operators import canopies, grating, mosaic, territory
 
 
 def cells_of(spark, vine, barrier, valid=None):
@@ -235,3 +236,51 @@ def test_a_raster_in_degrees_lands_where_its_pixels_are(spark):
     assert sum(v < 2000 for v in got.values()) > 600
     over = mosaic.mosaic(df, full(spark, rasters), ["v"], grid)
     assert over.where("v = 0").count() > 0 and over.count() >= len(got)
+
+
+def field(angle, spacing, gsd=0.5, n=48):
+    """Luminance of rows across an angle, with some noise."""
+    y, x = np.mgrid[:n, :n]
+    t = np.deg2rad(angle)
+    a = 100 + 60 * np.cos(2 * np.pi * (x * np.cos(t) + y * np.sin(t)) * gsd / spacing) + np.random.default_rng(3).normal(0, 4, (n, n))
+    return [(int(i), int(j), float(a[j, i]), float(a[j, i]), float(a[j, i])) for j in range(n) for i in range(n)], a
+
+
+RGB = "x int, y int, red double, green double, blue double"
+
+
+def test_grating_energies_against_plain_sums(spark):
+    rows, a = field(30, 2.7)
+    moved = [(x + 30, y + 30, *v) for x, y, *v in rows]  # over four tiles of 54, the smallest there are
+    got = {(r.x - 30, r.y - 30): r for r in grating.energy(spark.createDataFrame(moved, RGB), 0.5, tile=1).collect()}
+    assert len(got) == a.size
+    size, n = 25, a.shape[0]
+    p = np.pad(a, 12)
+    mean = np.array([[p[y : y + size, x : x + size].sum() / size**2 for x in range(n)] for y in range(n)])
+    square = np.array([[(p[y : y + size, x : x + size] ** 2).sum() / size**2 for x in range(n)] for y in range(n)])
+    z = (a - mean) / np.sqrt(np.maximum(square - mean**2, 1e-4))
+
+    def at(x, y, degrees):
+        best = 0
+        for s in grating.SPACINGS:
+            k = grating.wave(s / 0.5, degrees)[::-1, ::-1]
+            h = k.shape[0] // 2
+            q = np.pad(z, h)
+            part = [(q[j : j + 2 * h + 1, i : i + 2 * h + 1] * k).sum() ** 2 for j in range(y - 2, y + 3) for i in range(x - 2, x + 3) if 0 <= i < n and 0 <= j < n]
+            best = max(best, sum(part) / 25)
+        return best
+
+    for x, y in ((0, 0), (24, 24), (47, 11), (30, 46)):
+        all_ = [at(x, y, d) for d in grating.ANGLES]
+        assert abs(got[x, y].peak - max(all_)) <= 1e-9 * max(all_) and abs(got[x, y].second - sorted(all_)[-2]) <= 1e-9 * max(all_)
+        assert got[x, y].degrees == grating.ANGLES[int(np.argmax(all_))]
+    assert sum(r.degrees == 30 for r in got.values()) > 0.9 * len(got)
+
+
+def test_rows_score_above_noise(spark):
+    rows, _ = field(120, 2.7)
+    noise = [(x + 200, y, *[float(v)] * 3) for (x, y, *_), v in zip(rows, np.random.default_rng(4).normal(100, 30, len(rows)))]
+    got = grating.scores(grating.energy(spark.createDataFrame(rows + noise, RGB), 0.5)).groupBy((F.col("x") >= 200).alias("noise")).agg(F.avg("score").alias("s"), F.avg("peakiness").alias("p")).collect()
+    by = {r.noise: r for r in got}
+    assert by[False].s > 5 * by[True].s and by[False].p > 1.35
+    assert grating.scores(grating.energy(spark.createDataFrame([], RGB), 0.5)).count() == 0

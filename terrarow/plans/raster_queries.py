@@ -9,7 +9,7 @@ from terrarow.operators import canopies, grating, mosaic, territory
 
 from .base import query, table, view
 
-# densest twentieth of each line is vine, its emptiest twentieth a barrier
+# the densest 7 % of each line are vine, its emptiest twentieth a barrier
 _GROUND = "h AS (SELECT col AS x, row_ AS y, sum(v) AS v FROM cells GROUP BY ALL), q AS (SELECT x, y, percent_rank() OVER (PARTITION BY y ORDER BY v, x) AS p FROM h), g AS (SELECT x, y, y * 4294967296 + x AS id, p >= 0.93 AS vine FROM q WHERE p > 0.05)"
 _PARTS = "n AS (SELECT DISTINCT b.x, b.y, b.id FROM g a JOIN g b ON a.vine AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1), w AS (SELECT id, x, y, id AS l FROM n UNION SELECT b.id, b.x, b.y, w.l FROM w JOIN n b ON abs(w.x - b.x) <= 1 AND abs(w.y - b.y) <= 1), c AS (SELECT id, x, y, min(l) AS part FROM w GROUP BY ALL)"
 # for each part the ground that ways by sides reach from outside its bounding box

@@ -19,6 +19,11 @@ POINT = "passage long, x long, y long, px long, py long, nx long, ny long"
 TRIANGLE = "passage long, ax long, ay long, bx long, by long, cx long, cy long, area2 long, radius double"
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with value made once, however often f names it: lambdas would make a column's expression anew each time."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def outline_points(rings: DataFrame, step: float = 8.0) -> DataFrame:
     """The points of outlines in whole millimetres (POINT), each with those before (p) and after it (n), land on the left.
 
@@ -26,24 +31,27 @@ def outline_points(rings: DataFrame, step: float = 8.0) -> DataFrame:
     cut into equal parts of step or less. A ring of fewer than three corners, and one with a null in it, is none; a point
     that repeats the one before it counts once. Rings of one passage may not touch.
     """
-    first, last = F.get("ring", F.lit(0)), F.get("ring", F.size("ring") - 1)
-    same = (first["x"] == last["x"]) & (first["y"] == last["y"])
-    whole = rings.where("ring IS NOT NULL AND passage IS NOT NULL AND NOT exists(ring, p -> p.x IS NULL OR p.y IS NULL)").withColumn("ring", F.when(same & (F.size("ring") > 1), F.slice("ring", 1, F.size("ring") - 1)).otherwise(F.col("ring"))).where(F.size("ring") >= 3)
-    turned = lambda r, by: F.concat(F.slice(r, 1 + by, F.size(r) - by), F.slice(r, 1, by))
-    after = turned(F.col("ring"), 1)
-    # twice the area by corners relative to the first, as map coordinates are large
-    x, y = lambda p: p["x"] - first["x"], lambda p: p["y"] - first["y"]
-    area = F.aggregate(F.zip_with("ring", after, lambda p, q: x(p) * y(q) - x(q) * y(p)), F.lit(0.0), lambda s, v: s + v)
-    ordered = whole.withColumn("ring", F.when((area > 0) == F.coalesce("hole", F.lit(False)), F.reverse("ring")).otherwise(F.col("ring")))
+    whole = rings.where("ring IS NOT NULL AND passage IS NOT NULL AND NOT exists(ring, p -> p.x IS NULL OR p.y IS NULL)")
+    turned = lambda r: F.concat(F.slice(r, 2, F.size(r) - 1), F.slice(r, 1, 1))
     length = lambda p, q: F.sqrt((q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"]))
     mm = lambda v: F.floor(v * 1000 + 0.5).cast("long")
     steps = lambda p, q: F.greatest(F.lit(1), F.ceil(length(p, q) / step)).cast("int")
     at = lambda p, q, k: F.struct(mm(p["x"] + (k / steps(p, q)) * (q["x"] - p["x"])).alias("x"), mm(p["y"] + (k / steps(p, q)) * (q["y"] - p["y"])).alias("y"))
-    dense = F.flatten(F.zip_with("ring", turned(F.col("ring"), 1), lambda p, q: F.transform(F.sequence(F.lit(0), steps(p, q) - 1), lambda k: at(p, q, k))))
-    points = ordered.select("passage", dense.alias("d"))
-    unlike = points.select("passage", F.filter("d", lambda p, i: (F.size("d") == 1) | (p != F.get("d", F.when(i == 0, F.size("d")).otherwise(i) - 1))).alias("d")).where(F.size("d") >= 3)
-    near = F.arrays_zip(turned(F.col("d"), 1).alias("p"), turned(turned(F.col("d"), 1), 1).alias("n"), F.col("d").alias("o"))
-    return unlike.select("passage", F.explode(near).alias("e")).select("passage", "e.p.x", "e.p.y", F.col("e.o.x").alias("px"), F.col("e.o.y").alias("py"), F.col("e.n.x").alias("nx"), F.col("e.n.y").alias("ny"))
+    opened = lambda r: F.when((F.size(r) > 1) & (F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1)), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
+
+    def area(r):
+        # by corners relative to the first, as map coordinates are large
+        x, y = lambda p: p["x"] - F.get(r, F.lit(0))["x"], lambda p: p["y"] - F.get(r, F.lit(0))["y"]
+        return F.aggregate(F.zip_with(r, turned(r), lambda p, q: x(p) * y(q) - x(q) * y(p)), F.lit(0.0), lambda s, v: s + v)
+
+    ring = _let(F.col("ring"), opened)
+    ring = _let(ring, lambda r: F.when(F.size(r) < 3, F.slice(r, 1, 0)).when((area(r) > 0) == F.coalesce("hole", F.lit(False)), F.reverse(r)).otherwise(r))
+    # an empty ring has no first corner to turn
+    dense = _let(ring, lambda r: F.when(F.size(r) > 0, F.flatten(F.zip_with(r, turned(r), lambda p, q: F.transform(F.sequence(F.lit(0), steps(p, q) - 1), lambda k: at(p, q, k))))))
+    unlike = _let(dense, lambda d: F.filter(d, lambda p, i: p != F.get(d, F.pmod(i - 1, F.size(d)))))
+    beside = lambda d, i, name: F.get(d, F.pmod(i, F.size(d)))[name]
+    point = lambda d: F.transform(d, lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), beside(d, i - 1, "x").alias("px"), beside(d, i - 1, "y").alias("py"), beside(d, i + 1, "x").alias("nx"), beside(d, i + 1, "y").alias("ny")))
+    return whole.select("passage", _let(unlike, lambda d: F.when(F.size(d) >= 3, point(d))).alias("points")).select("passage", F.explode("points").alias("p")).select("passage", "p.*")
 
 
 def outline_areas(points: DataFrame) -> DataFrame:
@@ -141,7 +149,7 @@ def _inside(t: np.ndarray, p: np.ndarray) -> bool:
 
 
 def _tile_kernel(tile: float, most: float, least: float):
-    def kernel(key, df: pd.DataFrame) -> pd.DataFrame:
+    def kernel(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         passage, tx, ty = key
         df = df.drop_duplicates(["x", "y"])
         ox, oy = int(tx * tile * 1000), int(ty * tile * 1000)

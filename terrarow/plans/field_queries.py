@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrarow.operators import field, graph, greedy, rows, spatial
 
 from .base import query, view
-from .join_queries import _point_edges, placed, strip_pairs
+from .join_queries import placed, strip_pairs
 
 
 @query("""WITH p AS (SELECT tile_no, box_id, xtl AS x, ytl AS y FROM boxes), d AS (SELECT a.tile_no, a.box_id, b.box_id AS o, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, degrees(atan2(b.y - a.y, b.x - a.x)) AS g FROM p a JOIN p b ON a.tile_no = b.tile_no AND a.box_id <> b.box_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 7225),
@@ -132,7 +132,7 @@ def direction_assignment(spark, sf_dir):
 @query("WITH RECURSIVE e AS (SELECT a.pid AS a, b.pid AS b FROM points a JOIN points b ON a.pid <> b.pid AND (a.x_cm - b.x_cm) * (a.x_cm - b.x_cm) + (a.y_cm - b.y_cm) * (a.y_cm - b.y_cm) <= 62500), w AS (SELECT CAST(0 AS BIGINT) AS id UNION SELECT e.b FROM w JOIN e ON e.a = w.id), d AS (SELECT b.box_id, p.pid, (b.xtl - p.x_cm) * (b.xtl - p.x_cm) + (b.ytl - p.y_cm) * (b.ytl - p.y_cm) AS d2 FROM boxes b JOIN points p ON true JOIN w ON w.id = p.pid), k AS (SELECT *, row_number() OVER (PARTITION BY box_id ORDER BY d2, pid) AS i FROM d WHERE d2 <= 250000) SELECT pid AS node, min(box_id) AS target, count(*) AS targets FROM k WHERE i = 1 GROUP BY 1")
 def snapped_targets(spark, sf_dir):
     """Targets at their nearest node within 5 m that is connected to the start; the first target of a node stands for it."""
-    labels = graph.components(_point_edges(spark, sf_dir))
+    labels = spatial.point_components(view(spark, sf_dir, "points"), "pid", "x_cm", "y_cm", 250)
     start = labels.where("id = 0").select("label")
     reached = labels.join(start, "label", "left_semi").select("id").union(spark.range(1)).distinct()
     p = view(spark, sf_dir, "points").select("pid", "x_cm", "y_cm").join(reached, F.col("pid") == F.col("id"), "left_semi")

@@ -124,9 +124,12 @@ def direction_assignment(spark, sf_dir):
     g = view(spark, sf_dir, "segments")
     w = Window.partitionBy("block_id")
     d = g.select("block_id", "r", "c").distinct().withColumns({"br": F.avg("r").over(w), "bc": F.avg("c").over(w)})
-    v = F.round((F.col("len_cm") - 2560) * (F.col("bc") - F.col("c")) + (F.col("angle_deg") - 90) * (F.col("br") - F.col("r")), 3)
-    got = g.drop("block_id").join(d, ["r", "c"]).withColumn("v", v)
-    return rows.majority(got.groupBy("seg_id", "block_id").agg(F.max("v").alias("v")), ["seg_id"], "block_id", F.col("v")).select("seg_id", F.col("winner").alias("block_id"))
+    # a tile's few blocks are one row, so that a segment is one row from the join on
+    tiles = d.groupBy("r", "c").agg(F.collect_list(F.struct("block_id", "br", "bc")).alias("blocks"))
+    v = lambda b: F.round((F.col("len_cm") - 2560) * (b["bc"] - F.col("c")) + (F.col("angle_deg") - 90) * (b["br"] - F.col("r")), 3)
+    best = F.array_min(F.transform("blocks", lambda b: F.struct((0.0 - v(b)).alias("v"), b["block_id"].alias("block_id"))))
+    got = g.select("seg_id", "r", "c", "len_cm", "angle_deg").join(tiles, ["r", "c"]).select("seg_id", best.alias("best"))
+    return got.groupBy("seg_id").agg(F.min("best")["block_id"].alias("block_id"))
 
 
 @query("WITH RECURSIVE e AS (SELECT a.pid AS a, b.pid AS b FROM points a JOIN points b ON a.pid <> b.pid AND (a.x_cm - b.x_cm) * (a.x_cm - b.x_cm) + (a.y_cm - b.y_cm) * (a.y_cm - b.y_cm) <= 62500), w AS (SELECT CAST(0 AS BIGINT) AS id UNION SELECT e.b FROM w JOIN e ON e.a = w.id), d AS (SELECT b.box_id, p.pid, (b.xtl - p.x_cm) * (b.xtl - p.x_cm) + (b.ytl - p.y_cm) * (b.ytl - p.y_cm) AS d2 FROM boxes b JOIN points p ON true JOIN w ON w.id = p.pid), k AS (SELECT *, row_number() OVER (PARTITION BY box_id ORDER BY d2, pid) AS i FROM d WHERE d2 <= 250000) SELECT pid AS node, min(box_id) AS target, count(*) AS targets FROM k WHERE i = 1 GROUP BY 1")

@@ -38,8 +38,8 @@ def heights(cells: DataFrame, columns: int = 64) -> DataFrame:
     """The cells with height2: the exact squared distance to the nearest cell outside their canopy.
 
     Two passes. Along lines windows give the distance to the ends of a cell's run. Down columns the least of that
-    squared plus the squared way is taken within the column's run: outside it, its ends are nearer. A task of the
-    second pass holds so many columns of one canopy.
+    squared plus the squared way is taken within the column's run: outside it, its ends are nearer. The second pass
+    streams whole columns of many canopies at a time; a canopy is dealt to tasks by so many columns.
     """
     line = Window.partitionBy("canopy", "y")
     runs = cells.select(*CELL).withColumn("_r", F.col("x") - F.row_number().over(line.orderBy("x")))
@@ -48,9 +48,9 @@ def heights(cells: DataFrame, columns: int = 64) -> DataFrame:
     wide = wide.withColumn("_k", F.floor(F.col("x") / columns))
 
     def down(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["x", "y"], ignore_index=True)
+        canopy = part["canopy"].to_numpy()
         x, y, side = (part[c].to_numpy(np.int64) for c in ("x", "y", "side"))
-        starts = np.concatenate([[True], (np.diff(x) != 0) | (np.diff(y) != 1)])
+        starts = np.concatenate([[True], (canopy[1:] != canopy[:-1]) | (np.diff(x) != 0) | (np.diff(y) != 1)])
         first = np.maximum.accumulate(np.where(starts, np.arange(len(y)), 0))
         ends = np.append(np.flatnonzero(starts)[1:], len(y))
         last = ends[np.cumsum(starts) - 1] - 1
@@ -66,8 +66,22 @@ def heights(cells: DataFrame, columns: int = 64) -> DataFrame:
             best[:-d] = np.minimum(best[:-d], low)
         return part.assign(height2=best)[[*CELL, "height2"]]
 
+    def run(batches):
+        held = None
+        for part in batches:
+            part = part if held is None else pd.concat([held, part], ignore_index=True)
+            last = part.iloc[-1:]
+            # the last column may go on in the next batch
+            own = ((part["canopy"] == last["canopy"].iloc[0]) & (part["x"] == last["x"].iloc[0])).to_numpy()
+            if not own.all():
+                yield down(part[~own].reset_index(drop=True))
+            held = part[own].reset_index(drop=True)
+        if held is not None:
+            yield down(held)
+
     kinds = dict(cells.dtypes)
-    return wide.groupBy("canopy", "_k").applyInPandas(down, f"canopy {kinds['canopy']}, x {kinds['x']}, y {kinds['y']}, height2 long")
+    dealt = wide.repartition("canopy", "_k").sortWithinPartitions("canopy", "x", "y").select(*CELL, "side")
+    return dealt.mapInPandas(run, f"canopy {kinds['canopy']}, x {kinds['x']}, y {kinds['y']}, height2 long")
 
 
 def peaks(high: DataFrame, reach: int, least: float) -> DataFrame:
@@ -80,7 +94,7 @@ def peaks(high: DataFrame, reach: int, least: float) -> DataFrame:
     own = F.struct("canopy", "y", "x")
     found = stored(top.where((F.col("height2") == F.col("_m")) & (F.col("height2") > least * least)).select(*CELL, own.alias("id")), "peaks")
     ahead = _moved(found.withColumnRenamed("id", "a"), [(1, 0), (-1, 1), (0, 1), (1, 1)])
-    linked = components(ahead.join(found.withColumnRenamed("id", "b"), CELL).select("a", "b"))
+    linked = components(ahead.join(found.withColumnRenamed("id", "b").hint("merge"), CELL).select("a", "b"))
     return found.join(linked, "id", "left").select(*CELL, F.coalesce("label", "id").alias("marker"))
 
 
@@ -89,7 +103,8 @@ def flooded(cells: DataFrame, seeds: DataFrame) -> DataFrame:
 
     Seeds have one marker per cell. Each round goes one step on from the newest cells; as those of a round touch only
     cells of the round before, of their own and of the next, a round looks at two earlier ones, not at all. There are
-    as many rounds as the longest of these ways has steps. Cells that no marker reaches are left out.
+    as many rounds as the longest of these ways has steps. Cells that no marker reaches are left out. Merge joins by hint, as
+    stored cells are small files of many rows.
     """
     spark = cells.sparkSession
     path = new_path(spark, "flood")
@@ -104,7 +119,7 @@ def flooded(cells: DataFrame, seeds: DataFrame) -> DataFrame:
     while not newest.isEmpty():
         k += 1
         step = _moved(newest, SIDES).groupBy(*CELL).agg(F.min("marker").alias("marker"))
-        fresh = step.join(newest.select(*CELL).union(older.select(*CELL)), CELL, "left_anti").join(ground, CELL, "left_semi")
+        fresh = step.join(newest.select(*CELL).union(older.select(*CELL)).hint("merge"), CELL, "left_anti").join(ground.hint("merge"), CELL, "left_semi")
         newest, older = level(k, fresh), newest
     return spark.read.schema(newest.schema).parquet(*(f"{path}/level={i}" for i in range(k + 1)))
 
@@ -126,7 +141,7 @@ def parted(cells: DataFrame, reach: int, least: float, least_cells: int = 0, mos
     several = stored(marks.groupBy("canopy").agg(F.min("marker").alias("_a"), F.max("marker").alias("_b")).where("_a != _b").select("canopy"), "several")
     disc = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 5]
     open_ = core.join(several, "canopy", "left_semi")
-    seeds = _moved(marks.join(several, "canopy", "left_semi"), disc).groupBy(*CELL).agg(F.max("marker").alias("marker")).join(open_, CELL, "left_semi")
+    seeds = _moved(marks.join(several, "canopy", "left_semi"), disc).groupBy(*CELL).agg(F.max("marker").alias("marker")).join(open_.hint("merge"), CELL, "left_semi")
     whole = once.join(small, "canopy", "left_semi").union(core.join(several, "canopy", "left_anti"))
     first = Window.partitionBy("canopy")
     named = whole.withColumn("part", F.min(F.struct("canopy", "y", "x")).over(first))

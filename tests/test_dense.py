@@ -81,3 +81,43 @@ def test_components_of_boxes_and_points(spark, spread):
 def test_a_segment_stays_one_row_with_its_tile(spark):
     plan = QUERIES["direction_assignment"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") and "max(v" not in plan
+
+
+def test_small_groups_make_no_frames(spark):
+    for name in ("merged_spans", "claimed_interrows", "parallel_duplicates", "canopy_heights"):
+        assert "FlatMapGroupsInPandas" not in QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_groups_across_batches(spark):
+    from terrarow.operators import rows
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(500).select((F.col("id") % 23).alias("g"), (500 - F.col("id")).alias("v"))
+        got = rows.by_group(df, "g", ["v"], ["v"], lambda g, vs: [(g, len(vs), vs[0][0])] if vs == sorted(vs) else [], "g bigint, n int, v bigint").collect()
+        from terrarow.operators import canopies
+
+        cells = spark.range(300).select((F.col("id") % 3).alias("canopy"), (F.floor(F.col("id") / 3) % 10).cast("int").alias("x"), F.floor(F.col("id") / 30).cast("int").alias("y"))
+        high = {(r.canopy, r.x, r.y): r.height2 for r in canopies.heights(cells).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.g: (r.n, r.v) for r in got} == {g: (len(vs), min(vs)) for g in range(23) for vs in [[500 - i for i in range(500) if i % 23 == g]]}
+    assert high == {(c, x, y): min(x + 1, 10 - x, y + 1, 10 - y) ** 2 for c in range(3) for x in range(10) for y in range(10)}
+
+
+def test_long_lines_are_simplified_by_blocks():
+    import numpy as np
+
+    from terrarow.operators import greedy
+
+    rng = np.random.default_rng(1)
+    n = 600_000  # point by point this takes minutes: splits peel off the left end
+    line = np.column_stack([np.sort(rng.integers(0, 12000, n)), rng.integers(1, 8, n) * 250]).astype(float)
+    assert 12_000 < len(greedy.simplify(line, 400.0)) < 40_000
+    short = line[:20_000]
+    whole, greedy._corners = greedy._corners, lambda points: np.arange(len(points))
+    try:
+        want = greedy.simplify(short, 400.0)
+    finally:
+        greedy._corners = whole
+    assert np.array_equal(greedy.simplify(short, 400.0), want)

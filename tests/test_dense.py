@@ -121,3 +121,23 @@ def test_long_lines_are_simplified_by_blocks():
     finally:
         greedy._corners = whole
     assert np.array_equal(greedy.simplify(short, 400.0), want)
+
+
+def test_boundary_matching_of_many_equal_places(spark, tmp_path):
+    """Rows equal a scan of all pairs; equal places are matched without pairing them (20,000 boxes of one place in each of two tiles)."""
+    from terrarow.operators import greedy
+
+    keys = random.Random(3).sample(range(9 * 2048 * 3), 1500)
+    got = {tuple(r) for r in QUERIES["boundary_matching"](spark, part(spark, tmp_path, keys)).collect()}
+    at = {k: (k % 9, k * 37 % 2048, k * 91 % 2048) for k in keys}
+    pairs = sorted((d, a, b) for a in keys for b in keys if at[b][0] == at[a][0] + 1 and (d := (at[a][1] - at[b][1]) ** 2 + (at[a][2] - at[b][2]) ** 2) <= 120 * 120)
+    used, want = set(), set()
+    for d, a, b in pairs:
+        if ("a", a) not in used and ("b", b) not in used:
+            used |= {("a", a), ("b", b)}
+            want.add((at[a][0], a, b, d))
+    assert got == want
+    n = 20_000
+    side = lambda id_, more: spark.range(n + more).select(F.lit(1).alias("t"), F.col("id").alias(id_), F.lit(5).alias("x"), F.lit(7).alias("y"))
+    rows = greedy.matched_places(side("a", 3), side("b", 0), ["t"], 120).collect()
+    assert len(rows) == n and all(r.a == r.b and r.d2 == 0 for r in rows)

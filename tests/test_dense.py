@@ -141,3 +141,15 @@ def test_boundary_matching_of_many_equal_places(spark, tmp_path):
     side = lambda id_, more: spark.range(n + more).select(F.lit(1).alias("t"), F.col("id").alias(id_), F.lit(5).alias("x"), F.lit(7).alias("y"))
     rows = greedy.matched_places(side("a", 3), side("b", 0), ["t"], 120).collect()
     assert len(rows) == n and all(r.a == r.b and r.d2 == 0 for r in rows)
+
+
+def test_linked_ends_are_a_scan_without_a_task_for_all(spark):
+    """Rows equal a scan of all candidates by (turn, a, b); no group of linked segments goes to one task."""
+    df = QUERIES["linked_ends"](spark, DIR)
+    assert "InPandas" not in df._jdf.queryExecution().toString()
+    used, want = set(), set()
+    for k in sorted(QUERIES["linked_segments"](spark, DIR).collect(), key=lambda k: (k.turn, k.a, k.b)):
+        if not {k.a, k.b} & used:
+            used |= {k.a, k.b}
+            want.add((k.a, k.a % 2, k.b, k.b % 2, float(k.turn)))
+    assert {tuple(r) for r in df.collect()} == want and want

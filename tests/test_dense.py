@@ -153,3 +153,20 @@ def test_linked_ends_are_a_scan_without_a_task_for_all(spark):
             used |= {k.a, k.b}
             want.add((k.a, k.a % 2, k.b, k.b % 2, float(k.turn)))
     assert {tuple(r) for r in df.collect()} == want and want
+
+
+def test_walk_over_many_targets():
+    """2,000 targets around two walls: all in reach are visited, no leg enters a wall; a few seconds, where all pairs of nodes took hours."""
+    import numpy as np
+
+    from terrarow.operators import routing
+
+    r = random.Random(8)
+    walls = [np.array([(x, 4.0), (x + 1.0, 4.0), (x + 1.0, 28.0), (x, 28.0)]) for x in (8.0, 16.0)]
+    targets = np.array([(r.uniform(3, 33), r.uniform(3, 33)) for _ in range(2000)])
+    line, length, missed = routing.walk(np.zeros(2), targets, walls)
+    inside = [i for i, (x, y) in enumerate(targets) if 4 < y < 28 and any(w[0, 0] < x < w[1, 0] for w in walls)]
+    assert missed == inside and inside
+    assert {tuple(p) for p in targets[[i for i in range(2000) if i not in set(inside)]]} <= {tuple(p) for p in line}
+    assert (line[0] == line[-1]).all() and not any(routing.enters(w, a, b) for w in walls for a, b in zip(line, line[1:]))
+    assert abs(length - sum(np.hypot(*(b - a)) for a, b in zip(line, line[1:]))) < 1e-6

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spatial
+from .passages import _let
 from .unify import _with_boxes, crossings, within_convex
 
 #: Cells of the joins between lines and zones, in metres.
@@ -26,16 +27,29 @@ def centre_edges(lines: DataFrame, forbidden: DataFrame, step: float = 5.0, leas
     """
     size = F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0")))
     steps = F.greatest(F.lit(2), F.ceil(size / step)).cast("int")
-    at = F.col("k") / F.col("steps")
-    nodes = lines.withColumn("steps", steps).where(size >= least).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("steps")))).select("line", "k", (F.col("x0") + at * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + at * (F.col("y1") - F.col("y0"))).alias("y"))
-    near = nodes.withColumns({"xtl": F.col("x") - 1e-6, "ytl": F.col("y") - 1e-6, "xbr": F.col("x") + 1e-6, "ybr": F.col("y") + 1e-6})
-    lost = spatial.box_pairs(near, _with_boxes(forbidden), CELL).where(_inside(F.col("x"), F.col("y"), F.col("ring"))).select("line", "k").distinct()
-    along = Window.partitionBy("line").orderBy("k")
-    left = nodes.join(lost, ["line", "k"], "left_anti").withColumn("_i", F.col("k") - F.row_number().over(along))
-    runs = left.withColumns({"run": F.min("k").over(Window.partitionBy("line", "_i")), **{n: F.lead(c).over(along) for n, c in (("_k", "k"), ("x1", "x"), ("y1", "y"))}})
-    edges = runs.where(F.col("_k") == F.col("k") + 1).select("line", "run", "k", F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
-    cut = crossings(edges, forbidden, ["line", "k"], CELL).select("line", "k").distinct()
-    return edges.join(cut, ["line", "k"], "left_anti").withColumn("w", F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0"))))
+    long = lines.withColumn("steps", steps).where(size >= least)
+    # zones are brought to lines once; nodes and edges are judged within a line's arrays, without a row for each in any join
+    boxed = long.withColumns({"xtl": F.least("x0", "x1") - 0.01, "ytl": F.least("y0", "y1") - 0.01, "xbr": F.greatest("x0", "x1") + 0.01, "ybr": F.greatest("y0", "y1") + 0.01})
+    near = spatial.box_pairs(boxed, _with_boxes(forbidden), CELL).groupBy("line").agg(F.collect_list("ring").alias("rings"))
+    met = long.join(near.hint("merge"), "line", "left")
+    at = lambda k: k / F.col("steps")
+    node = lambda k: F.struct(k.alias("k"), (F.col("x0") + at(k) * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + at(k) * (F.col("y1") - F.col("y0"))).alias("y"))
+    nodes = F.transform(F.sequence(F.lit(0), F.col("steps")), node)
+    kept = F.when(F.col("rings").isNull(), F.col("nodes")).otherwise(F.filter("nodes", lambda n: ~F.exists("rings", lambda r: _inside(n["x"], n["y"], r))))
+    # run: the first node of the stretch without lost ones that a node lies in
+    started = F.transform("kept", lambda n, i: F.when((i == 0) | (F.get("kept", i - 1)["k"] != n["k"] - 1), n["k"]))
+    first = F.slice("kept", 1, F.greatest(F.size("kept") - 1, F.lit(0)))
+    ways = _let(started, lambda st: F.transform(first, lambda n, i: F.struct(n.alias("p"), F.get("kept", i + 1).alias("q"), F.array_max(F.slice(st, 1, i + 1)).alias("run"))))
+    pairs = F.filter(ways, lambda e: e["q"]["k"] == e["p"]["k"] + 1)
+
+    def barred(e: Column, ring: Column) -> Column:
+        part = within_convex(e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"], ring)
+        return F.exists(F.array(part), lambda t: t["end"] > t["start"])
+
+    edges = met.withColumn("nodes", nodes).withColumn("kept", kept).withColumn("edges", pairs)
+    free = F.when(F.col("rings").isNull(), F.col("edges")).otherwise(F.filter("edges", lambda e: ~F.exists("rings", lambda r: barred(e, r))))
+    out = edges.select("line", F.explode(free).alias("e")).select("line", "e.run", "e.p.k", F.col("e.p.x").alias("x0"), F.col("e.p.y").alias("y0"), F.col("e.q.x").alias("x1"), F.col("e.q.y").alias("y1"))
+    return out.withColumn("w", F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0"))))
 
 
 def gap_corridors(strips: DataFrame, reach: float, parallel: float = 0.94, stations: int = 5) -> DataFrame:

@@ -170,3 +170,18 @@ def test_walk_over_many_targets():
     assert {tuple(p) for p in targets[[i for i in range(2000) if i not in set(inside)]]} <= {tuple(p) for p in line}
     assert (line[0] == line[-1]).all() and not any(routing.enters(w, a, b) for w in walls for a, b in zip(line, line[1:]))
     assert abs(length - sum(np.hypot(*(b - a)) for a, b in zip(line, line[1:]))) < 1e-6
+
+
+def test_every_tenth_hangs_on_the_table_alone(spark, tmp_path):
+    """Vines of one place, order and line but of several rows: the same ones are chosen in whatever order they come."""
+    got = []
+    for turn in (1, -1):
+        rows = [(7, i % 25, 3, 1, 12.34) for i in range(60)][::turn]
+        spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/{turn}/lineitem.parquet")
+        got.append(sorted(r.row_no for r in QUERIES["every_tenth"](spark, f"{tmp_path}/{turn}").collect()))
+    assert got[0] == got[1] == sorted(i % 25 for i in range(60))[::10]
+
+
+def test_corridor_nodes_are_not_joined(spark):
+    plan = QUERIES["corridor_runs"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "Window" not in plan

@@ -185,3 +185,21 @@ def test_every_tenth_hangs_on_the_table_alone(spark, tmp_path):
 def test_corridor_nodes_are_not_joined(spark):
     plan = QUERIES["corridor_runs"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2 and "Window" not in plan
+
+
+def test_groups_of_strips_in_small_and_large_blocks(spark):
+    """Blocks read one after another and blocks by rounds of labels give the same groups as a plain scan."""
+    from terrarow.operators import field
+    from terrarow.plans.join_queries import side_pairs
+
+    r = random.Random(6)
+    rows = [(i, i % 7 if i < 60 else 9, r.randrange(3000), (s := r.randrange(900)), s + r.randrange(200, 900)) for i in range(160)]
+    s = spark.createDataFrame(rows, "strip_id bigint, block_no int, t_cm bigint, s0_cm bigint, s1_cm bigint")
+    label = {i[0]: i[0] for i in rows}
+    links = [(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and 125 <= b[2] - a[2] <= 400 and min(a[4], b[4]) - max(a[3], b[3]) >= 300]
+    for _ in rows:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    want = {(i, label[i]) for k in links for i in k}
+    got = field.side_components(s, "block_no", "strip_id", "t_cm", "s0_cm", "s1_cm", 125, 400, 300, lambda large: side_pairs(large).select("a", "b"), 20).collect()
+    assert {(k.id, k.label) for k in got} == want and len(got) == len(want) > 40

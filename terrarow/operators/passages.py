@@ -173,7 +173,167 @@ def _tile_kernel(tile: float, most: float, least: float):
     return kernel
 
 
-def triangles(points: DataFrame, step: float = 8.0, tile: float = 128.0, border: float | None = None) -> DataFrame:
+#: A passage of up to so many points, and so many millimetres each way, is made whole: products of places then fit 64 bits.
+WHOLE, WIDE = 1000, 400_000
+
+
+def _best_apex(dot: np.ndarray, cross: np.ndarray) -> int:
+    """The index of the smallest dot / cross (cross > 0), in whole numbers."""
+    best = 0
+    for i in range(1, len(dot)):
+        if int(dot[i]) * int(cross[best]) < int(dot[best]) * int(cross[i]):
+            best = i
+    return best
+
+
+def _apexes(sides: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
+    """For each directed side the point that makes a Delaunay triangle on its left, or -1.
+
+    Circles through both ends have their centres on one line; the point on the left that the circle meets first is the
+    corner, if no point on the right lies in that circle. gx, gy: whole numbers of up to 2**31, so products are exact.
+    """
+    out = np.full(len(sides), -1)
+    for at in range(0, len(sides), max(1, 1_000_000 // len(gx))):
+        a, b = sides[at:at + max(1, 1_000_000 // len(gx))].T
+        ux, uy = gx - gx[a, None], gy - gy[a, None]
+        vx, vy = (gx[b] - gx[a])[:, None], (gy[b] - gy[a])[:, None]
+        cross, dot = vx * uy - vy * ux, ux * (ux - vx) + uy * (uy - vy)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = dot / cross
+        left = np.where(cross > 0, t, np.inf)
+        first = left.argmin(axis=1)
+        least = left[np.arange(len(a)), first]
+        slack = 1e-14 * np.abs(least)
+        most = np.where(cross < 0, t, -np.inf).max(axis=1)
+        with np.errstate(invalid="ignore"):
+            several = np.flatnonzero((left <= (least + slack)[:, None]).sum(axis=1) > 1)
+            close = np.isfinite(least) & (np.abs(most - least) <= slack)
+        for i in several[np.isfinite(least[several])]:
+            like = np.flatnonzero(left[i] <= least[i] + slack[i])
+            first[i] = like[_best_apex(dot[i, like], cross[i, like])]
+        free = np.isfinite(least) & (most < least)
+        for i in np.flatnonzero(close):
+            right = np.flatnonzero((cross[i] < 0) & (t[i] >= least[i] - slack[i]))
+            d, c = int(dot[i, first[i]]), int(cross[i, first[i]])
+            free[i] = all(int(-dot[i, j]) * c <= d * int(-cross[i, j]) for j in right)
+        out[at:at + len(a)] = np.where(free, first, -1)
+    return out
+
+
+def _all_inside(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """_inside of many triangles at once."""
+    x, y, px, py, nx, ny = (3 * p[t[:, 0]]).T[:, :, None]
+    dx, dy = p[t, 0].sum(axis=1)[:, None] - x, p[t, 1].sum(axis=1)[:, None] - y
+    before, behind = (x - px) * dy - (y - py) * dx > 0, (nx - x) * dy - (ny - y) * dx > 0
+    convex = (x - px) * (ny - y) - (y - py) * (nx - x) >= 0
+    inside = np.where(convex, before & behind, before | behind)[:, 0]
+    ux, uy, wx, wy = 3 * p[:, 0] - x, 3 * p[:, 1] - y, 3 * p[:, 4] - x, 3 * p[:, 5] - y
+    apart = ((ux != 0) | (uy != 0)) & ((wx != 0) | (wy != 0))
+    su, sw = dx * uy - dy * ux > 0, dx * wy - dy * wx > 0
+    ends = (dx - ux) * (wy - uy) - (dy - uy) * (wx - ux)
+    crossed = apart & (su != sw) & ((ux * wy - uy * wx > 0) != (-ends > 0))
+    return inside ^ (crossed.sum(axis=1) % 2 == 1)
+
+
+def whole_mesh(p: np.ndarray, border: float = 16.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(corners, twice the areas, radii) of a passage's Delaunay triangles whose centroid lies inside its outlines.
+
+    p: x, y, px, py, nx, ny by point, sorted by x and y, without repeats. Triangles are looked for on all open sides at
+    once: on the land side of the outlines first, then across the sides of those found inside. Where these don't fill
+    the outlines' area, because a side of theirs is no side of a triangle, all triangles of the points are looked through.
+    As by tiles, circles count up to border (metres), or four, sixteen, ... times that, until the area is filled: points
+    of one straight side, being rounded and moved, make flat triangles of far larger circles on their neighbours.
+    """
+    n, none = len(p), np.zeros((0, 3), dtype=np.int64)
+    x0, y0 = p[:, 0].min(), p[:, 1].min()
+    mx, my = _moved(p[:, 0], p[:, 1])
+    own = p - np.array([x0, y0] * 3)
+    gx, gy = (np.rint((own[:, i] + m + 1) * 4096).astype(np.int64) for i, m in ((0, mx), (1, my)))
+    name = own[:, 0] * 2**20 + own[:, 1]
+    after = np.searchsorted(name, own[:, 4] * 2**20 + own[:, 5])
+    double = lambda t: (own[t[:, 1], 0] - own[t[:, 0], 0]) * (own[t[:, 2], 1] - own[t[:, 0], 1]) - (own[t[:, 1], 1] - own[t[:, 0], 1]) * (own[t[:, 2], 0] - own[t[:, 0], 0])
+    area = int((own[:, 0] * own[:, 5] - own[:, 4] * own[:, 1]).sum())
+
+    def grown(sides: np.ndarray, everywhere: bool) -> np.ndarray:
+        seen, found = np.zeros((n, n), dtype=bool), [none]
+        while len(sides):
+            seen[sides[:, 0], sides[:, 1]] = True
+            c = _apexes(sides, gx, gy)
+            t = np.column_stack([sides, c])[c >= 0]
+            t = np.take_along_axis(t, (t.argmin(axis=1)[:, None] + np.arange(3)) % 3, axis=1)
+            t = np.unique(t, axis=0)
+            for i in range(3):
+                seen[t[:, i], t[:, (i + 1) % 3]] = True
+            inside = _all_inside(t, own) & (double(t) != 0)
+            found.append(t[inside])
+            reach = t if everywhere else t[inside]
+            sides = np.concatenate([reach[:, [1, 0]], reach[:, [2, 1]], reach[:, [0, 2]]])
+            sides = np.unique(sides[~seen[sides[:, 0], sides[:, 1]]], axis=0)
+        return np.concatenate(found)
+
+    def radii(t: np.ndarray) -> np.ndarray:
+        a, b, c = (np.column_stack([gx[t[:, i]], gy[t[:, i]]]).astype(float) for i in range(3))
+        u, v, w = b - a, c - a, c - b
+        return np.hypot(*u.T) * np.hypot(*v.T) * np.hypot(*w.T) / (2 * np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])) / 4096 / 1000
+
+    def filling(t: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        size, radius, most = np.abs(double(t)), radii(t), border
+        extent = float(own[:, 0].max() + own[:, 1].max()) / 1000
+        while size[radius <= most].sum() < area and extent * 10 > most:
+            most *= 4
+        take = radius <= most
+        return int(size[take].sum()), np.sort(t[take], axis=1), size[take], radius[take]
+
+    outline = np.unique(np.column_stack([np.arange(n), after]), axis=0)
+    filled, *found = filling(grown(outline, False))
+    if filled != area:
+        d = (gx[:, None] - gx) ** 2 + (gy[:, None] - gy) ** 2
+        d[np.arange(n), np.arange(n)] = np.iinfo(np.int64).max
+        near = np.column_stack([np.arange(n), d.argmin(axis=1)])  # a point and the next to it are a side of a triangle
+        _, *found = filling(grown(np.unique(np.concatenate([near, near[:, ::-1]]), axis=0), True))
+    return tuple(found)
+
+
+def _whole_passages(batches, border: float):
+    """Triangles of passages whose points come one passage after the other, sorted by x and y."""
+    names = [c.split()[0] for c in TRIANGLE.split(", ")]
+    held = None
+
+    def made(rows: np.ndarray) -> pd.DataFrame | None:
+        cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
+        ids, corners, areas, radii = [], [], [], []
+        for part in np.split(rows, cuts):
+            p = part[:, 1:]
+            p = p[np.append(True, (p[1:, :2] != p[:-1, :2]).any(axis=1))]
+            if len(p) < 3:
+                continue
+            t, area2, radius = whole_mesh(p, border)
+            ids.append(np.full(len(t), part[0, 0]))
+            corners.append(p[t, :2].reshape(-1, 6))
+            areas.append(area2)
+            radii.append(radius)
+        if not ids:
+            return None
+        columns = [np.concatenate(ids), *np.concatenate(corners).T, np.concatenate(areas), np.concatenate(radii)]
+        return pd.DataFrame(dict(zip(names, columns, strict=True)))
+
+    for df in batches:
+        rows = df.to_numpy(dtype=np.int64)
+        held = rows if held is None else np.concatenate([held, rows])
+        if not len(held):
+            continue
+        last = np.searchsorted(held[:, 0], held[-1, 0])
+        if last:
+            out, held = made(held[:last]), held[last:]
+            if out is not None:
+                yield out
+    if held is not None and len(held):
+        out = made(held)
+        if out is not None:
+            yield out
+
+
+def triangles(points: DataFrame, step: float = 8.0, tile: float = 128.0, border: float | None = None, whole: int = WHOLE) -> DataFrame:
     """The Delaunay triangles of each passage's points whose centroid lies inside its outlines, as TRIANGLE; millimetres.
 
     A tile gets the points within its border and a step; it gives the triangles whose circle's centre it holds and whose
@@ -181,10 +341,22 @@ def triangles(points: DataFrame, step: float = 8.0, tile: float = 128.0, border:
     are wider apart have larger circles: passages whose triangles don't yet fill their area come again by tiles and
     borders four times as large, for the larger circles only, until they are filled or the border is ten times their extent. Where a passage is narrower
     than step, triangles may cross its sides and never fill it. A task holds the points of one passage on one tile.
+    Passages of up to whole points, and WIDE each way, need no tiles: they are read one after another out of sorted partitions.
     """
     border = border or 2 * step
-    left, found, least = stored(outline_areas(points), "outline-areas"), None, 0.0
-    part = points
+    wide = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    sizes = stored(points.groupBy("passage").agg(F.count("*").alias("_n"), wide.alias("_wide")), "passage-sizes")
+    small, large = sizes.where((F.col("_n") <= whole) & (F.col("_wide") <= WIDE)), sizes.where((F.col("_n") > whole) | (F.col("_wide") > WIDE))
+    part, least, found = points, 0.0, None
+    if not small.isEmpty():
+        tiled = not large.isEmpty()
+        near = points.join(small.select("passage").hint("merge"), "passage", "left_semi") if tiled else points
+        sorted_ = near.select(*(c.split()[0] for c in POINT.split(", "))).repartition("passage").sortWithinPartitions("passage", "x", "y")
+        found = stored(sorted_.mapInPandas(lambda batches: _whole_passages(batches, border), TRIANGLE), "triangles")
+        if not tiled:
+            return found
+        points = part = points.join(large.select("passage").hint("merge"), "passage", "left_semi")
+    left = stored(outline_areas(points), "outline-areas")
     while True:
         halo = border + step
         spans = lambda c: F.explode(F.sequence(F.floor((F.col(c) / 1000 - halo) / tile), F.floor((F.col(c) / 1000 + halo) / tile)))  # noqa: E731,B023

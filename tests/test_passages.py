@@ -112,3 +112,42 @@ def test_entries_are_the_nearest_nodes(spark, rings):
         d, name = min((math.hypot(x - s.x, y - s.y), n) for n, x, y in nodes)
         assert got[s.start][0] == name and got[s.start][1] == pytest.approx(d)
     assert passages.entered(ways.limit(0), starts).isEmpty() and passages.entered(ways, starts.limit(0)).isEmpty()
+
+
+def test_whole_passages_give_the_triangles_of_tiles(spark, rings):
+    points = passages.outline_points(rings, 6.0).cache()
+    want = corners(passages.triangles(points, 6.0, tile=40.0, whole=0))
+    assert corners(passages.triangles(points, 6.0)) == want
+    assert corners(passages.triangles(points, 6.0, whole=60)) == want  # some whole, some by tiles
+
+
+def test_a_mesh_where_outlines_are_no_sides_of_triangles():
+    rng = np.random.default_rng(5)
+    for n in (3, 8, 60):  # stars: sides of theirs cross triangles
+        a = np.sort(rng.uniform(0, 2 * math.pi, n))
+        r = rng.uniform(2000, 60000, n)
+        ring = np.column_stack([np.rint(70000 + r * np.cos(a)), np.rint(70000 + r * np.sin(a))]).astype(np.int64)
+        p = np.column_stack([ring, np.roll(ring, 1, axis=0), np.roll(ring, -1, axis=0)])
+        p = p[np.lexsort((p[:, 1], p[:, 0]))]
+        mx, my = passages._moved(p[:, 0], p[:, 1])
+        t, _ = passages.delaunay(p[:, 0] + mx, p[:, 1] + my)
+        want = sorted(tuple(sorted(c)) for c in t.tolist() if passages._inside(np.array(c), p))
+        assert sorted(map(tuple, passages.whole_mesh(p, 1e6)[0].tolist())) == want
+
+
+def test_a_passage_takes_a_few_milliseconds():
+    import time
+
+    out, hole = ring_road(0.0, 0.0, 90.0, 70.0, 7.0)
+    p = []
+    for ring in (out, hole[::-1]):
+        dense = np.concatenate([np.linspace(q, r, 18, endpoint=False) for q, r in zip(np.array(ring), np.roll(np.array(ring), -1, axis=0))])
+        mm = np.rint(dense * 1000).astype(np.int64)
+        p.append(np.column_stack([mm, np.roll(mm, 1, axis=0), np.roll(mm, -1, axis=0)]))
+    p = np.concatenate(p)
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    assert len(passages.whole_mesh(p)[0]) == len(p)
+    began = time.process_time()
+    for _ in range(50):
+        passages.whole_mesh(p)
+    assert time.process_time() - began < 50 * 0.02  # by tiles and points one after another it took some 0.1 s

@@ -24,6 +24,11 @@ def _let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df dealt by passage to more tasks than there are cores: it is small in bytes for the work that it makes."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "passage")
+
+
 def outline_points(rings: DataFrame, step: float = 8.0) -> DataFrame:
     """The points of outlines in whole millimetres (POINT), each with those before (p) and after it (n), land on the left.
 
@@ -31,7 +36,7 @@ def outline_points(rings: DataFrame, step: float = 8.0) -> DataFrame:
     cut into equal parts of step or less. A ring of fewer than three corners, and one with a null in it, is none; a point
     that repeats the one before it counts once. Rings of one passage may not touch.
     """
-    whole = rings.where("ring IS NOT NULL AND passage IS NOT NULL AND NOT exists(ring, p -> p.x IS NULL OR p.y IS NULL)")
+    whole = _spread(rings).where("ring IS NOT NULL AND passage IS NOT NULL AND NOT exists(ring, p -> p.x IS NULL OR p.y IS NULL)")
     turned = lambda r: F.concat(F.slice(r, 2, F.size(r) - 1), F.slice(r, 1, 1))
     length = lambda p, q: F.sqrt((q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"]))
     mm = lambda v: F.floor(v * 1000 + 0.5).cast("long")
@@ -351,7 +356,8 @@ def triangles(points: DataFrame, step: float = 8.0, tile: float = 128.0, border:
     if not small.isEmpty():
         tiled = not large.isEmpty()
         near = points.join(small.select("passage").hint("merge"), "passage", "left_semi") if tiled else points
-        sorted_ = near.select(*(c.split()[0] for c in POINT.split(", "))).repartition("passage").sortWithinPartitions("passage", "x", "y")
+        sorted_ = near.select(*(c.split()[0] for c in POINT.split(", ")))
+        sorted_ = _spread(sorted_).sortWithinPartitions("passage", "x", "y")
         found = stored(sorted_.mapInPandas(lambda batches: _whole_passages(batches, border), TRIANGLE), "triangles")
         if not tiled:
             return found

@@ -49,8 +49,12 @@ _MARKS = "k AS (SELECT * FROM z WHERE height2 > 9 AND height2 = (SELECT max(o.he
 _FLOOD = "sd AS (SELECT m.canopy, m.x, m.y, max(marker) AS marker FROM mk JOIN sv USING (canopy) JOIN m ON m.canopy = mk.canopy AND (m.x - mk.x) * (m.x - mk.x) + (m.y - mk.y) * (m.y - mk.y) <= 5 GROUP BY ALL), fl AS (SELECT canopy, x, y, marker, 0 AS hop FROM sd UNION SELECT m.canopy, m.x, m.y, fl.marker, fl.hop + 1 FROM fl JOIN m ON m.canopy = fl.canopy AND abs(m.x - fl.x) + abs(m.y - fl.y) = 1 ANTI JOIN sd ON sd.canopy = m.canopy AND sd.x = m.x AND sd.y = m.y WHERE fl.hop < 60), e AS (SELECT canopy, x, y, arg_min(marker, hop * 1000000 + marker) AS part FROM fl GROUP BY ALL UNION ALL SELECT canopy, x, y, min(y * 1000 + x) OVER (PARTITION BY canopy) FROM m WHERE canopy NOT IN (SELECT canopy FROM sv))"
 
 
+def _canopy_boxes(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr("p_partkey div 3 as canopy", "cast((p_partkey * 37) % 40 as int) as xtl", "cast((p_partkey * 91) % 30 as int) as ytl", "10 + p_size as w", "10 + (p_size * 7) % 30 as h")
+
+
 def _canopy_cells(spark, sf_dir):
-    boxes = table(spark, sf_dir, "part").selectExpr("p_partkey div 3 as canopy", "cast((p_partkey * 37) % 40 as int) as xtl", "cast((p_partkey * 91) % 30 as int) as ytl", "10 + p_size as w", "10 + (p_size * 7) % 30 as h")
+    boxes = _canopy_boxes(spark, sf_dir)
     span = lambda at, side: F.explode(F.expr(f"sequence(cast({at} div 2 as int), cast(({at} + {side}) div 2 as int) - 1)"))
     return boxes.withColumn("x", span("xtl", "w")).withColumn("y", span("ytl", "h")).select("canopy", "x", "y").distinct()
 
@@ -64,7 +68,9 @@ def canopy_heights(spark, sf_dir):
 @query(f"WITH RECURSIVE {_CANOPY}, {_OPENED}, {_heights('m')}, {_MARKS}, {_FLOOD} SELECT canopy, CAST(part % 1000 AS INTEGER) AS part_x, CAST(part // 1000 AS INTEGER) AS part_y, count(*) AS cells, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM e GROUP BY ALL")
 def canopy_parts(spark, sf_dir):
     """Canopies parted where three boxes touch: cells and their place sums by part."""
-    cells = canopies.parted(_canopy_cells(spark, sf_dir), 5, 3.0)
+    whole = lambda e: F.expr(f"cast({e} as int)")
+    boxes = _canopy_boxes(spark, sf_dir).select("canopy", whole("xtl div 2").alias("x"), whole("ytl div 2").alias("y"), whole("(xtl + w) div 2 - 1").alias("x1"), whole("(ytl + h) div 2 - 1").alias("y1"))
+    cells = canopies.parted(boxes, 5, 3.0)
     return cells.groupBy("part").agg(F.count("*").alias("cells"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y")).select("part.canopy", F.col("part.x").alias("part_x"), F.col("part.y").alias("part_y"), "cells", "sum_x", "sum_y")
 
 

@@ -189,6 +189,36 @@ def test_no_canopies_and_sizes(spark):
     assert [(r.canopy, r["count"]) for r in got] == [(1, 81)]
 
 
+def test_canopies_taken_apart_whole_and_by_cells(spark):
+    """Small canopies need no joins of cells, and both ways give the same parts, repeated lines and boxes included."""
+    r = np.random.default_rng(3)
+    boxes = [(i, x, y, x + int(r.integers(4, 31)), y + int(r.integers(4, 21))) for i in range(60) for x, y in r.integers(-5, 20, (3, 2)).tolist()]
+    spans = spark.createDataFrame(boxes + boxes[:9], "canopy long, x int, y int, x1 int, y1 int")
+    got = canopies.parted(spans, 5, 3.0, 20, 700, compact=25)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString() and "Window" not in got._jdf.queryExecution().toString()
+    want = {tuple(x) for x in canopies.parted(spans, 5, 3.0, 20, 700, compact=25, wide=0).collect()}
+    assert {tuple(x) for x in got.collect()} == want and len({x[3] for x in want}) > 60
+    assert {tuple(x) for x in canopies.parted(spans, 5, 3.0, 20, 700, compact=25, wide=30).collect()} == want
+
+
+#: Boxes of one canopy with a corner between a cell and a higher one.
+CORNERED = [(14, 9, 39, 19), (19, 1, 31, 8), (9, 16, 16, 22)]
+
+
+def test_peaks_look_at_the_whole_square(spark):
+    """A higher cell counts where the column between has no cell on its line."""
+    m = np.zeros((45, 60), bool)
+    for x0, y0, x1, y1 in CORNERED:
+        m[y0 : y1 + 1, x0 : x1 + 1] = True
+    opening = np.zeros_like(m)
+    for x, y in brute_opening(m):
+        opening[y, x] = True
+    high = brute_heights(opening)
+    tops = {p for p, h in high.items() if h > 9 and all(high.get((p[0] + a, p[1] + b), 0) <= h for a in range(-5, 6) for b in range(-5, 6))}
+    got = canopies.peaks(canopies.heights(canopy_cells(spark, opening)), 5, 3.0)
+    assert {(r.x, r.y) for r in got.collect()} == tops
+
+
 SHAPE = "raster int, place int, zone int, a double, b double, c double, d double, e double, f double, width int, height int"
 
 

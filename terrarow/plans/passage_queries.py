@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrarow.operators import passages
-from terrarow.storage import stored
 
 from .base import query, table
 
@@ -31,8 +30,6 @@ def passage_graph(spark, sf_dir):
     ring = F.array(at(o, o), at(F.col("w"), o), at(F.col("w"), F.col("h")), at(o, F.col("h")))
     holes = yards.select("passage", "s", (F.col("x") + F.col("t") + F.col("t") * F.col("s") / 10).alias("x"), (F.col("y") + F.col("t")).alias("y"), (F.col("w") - 2 * F.col("t")).alias("w"), (F.col("h") - 2 * F.col("t")).alias("h"))
     rings = yards.select("passage", F.lit(False).alias("hole"), ring.alias("ring")).union(holes.select("passage", F.lit(True), ring))
-    points = stored(passages.outline_points(rings, 5.0), "outline-points")
-    found = passages.triangles(points, 5.0)
-    ways = passages.passage_edges(found, points)
-    areas = found.groupBy("passage").agg(F.count("*").alias("triangles"), F.sum("area2").alias("area2_mm2"))
-    return areas.join(ways.groupBy("passage").agg(F.count("*").alias("ways")), "passage", "left").select("passage", "triangles", F.coalesce("ways", F.lit(0).cast("long")).alias("ways"), "area2_mm2")
+    made = passages.graphs(rings, 5.0)
+    area2 = F.aggregate("triangles", F.lit(0).cast("long"), lambda s, t: s + t["area2"])
+    return made.groupBy("passage").agg(F.sum(F.size("triangles")).alias("triangles"), F.sum(F.size("ways")).alias("ways"), F.sum(area2).alias("area2_mm2"))

@@ -151,3 +151,43 @@ def test_a_passage_takes_a_few_milliseconds():
     for _ in range(50):
         passages.whole_mesh(p)
     assert time.process_time() - began < 50 * 0.02  # by tiles and points one after another it took some 0.1 s
+
+
+def test_graphs_are_made_in_one_pass(spark, rings):
+    """Streamed graphs equal triangles and ways by their own operators; nothing but the rings is shuffled."""
+    points = passages.outline_points(rings, 6.0).cache()
+    found = passages.triangles(points, 6.0, whole=0).cache()
+    want = corners(found)
+    thrice = lambda c: F.floor(F.col(c) * 3000 + 0.5).cast("long")
+    ways = passages.passage_edges(found, points).select("passage", *(thrice(c) for c in ("x0", "y0", "x1", "y1")), F.round("off", 6), F.round("w", 6))
+    roads = {tuple(r) for r in ways.collect()}
+    assert want and roads
+    for whole in (1000, 60, 0):
+        made = passages.graphs(rings, 6.0, whole=whole).cache()
+        assert corners(made.select("passage", F.explode("triangles").alias("t")).select("passage", "t.*")) == want
+        got = made.select("passage", F.explode("ways").alias("v")).select("passage", "v.ax3", "v.ay3", "v.bx3", "v.by3", F.round("v.off", 6), F.round("v.w", 6))
+        assert sorted(map(tuple, got.collect())) == sorted(roads)
+    plan = passages.graphs(rings, 7.0)._jdf.queryExecution().toString()
+    assert "Join" not in plan and plan.split("== Physical Plan ==")[1].count("Exchange") == 1
+
+
+def test_passages_at_once_equal_those_alone():
+    """Roads around yards: meshes and ways of many at once, by points near by, equal those of one, by all points."""
+    r = np.random.default_rng(4)
+    rings = [np.array([(0, 0), (w, 0), (w, h), (0, h)], float) + r.uniform(0, 500, 2) for w, h in r.uniform(30, 90, (30, 2))]
+    rings[3][1] += (-20, 9)
+    size, x, y = np.full(60, 4), [], []
+    for i, o in enumerate(rings):
+        for q in (o, o.mean(0) + (o - o.mean(0)) * r.uniform(0.3, 0.9)):
+            x, y = [*x, *q[:, 0]], [*y, *q[:, 1]]
+    gid, p = passages.whole_outlines(np.repeat(np.arange(30), 2), size, np.arange(60) % 2 == 1, np.array(x), np.array(y), 5.0)
+    t, area2, radius, done, near = passages.whole_meshes(gid, p, 10.0, 18000.0)
+    assert done.sum() > 9
+    ways, of = passages.whole_ways(p, p, t, 2.0, 9.0, near, 18000.0)
+    for k in np.flatnonzero(done):
+        own, q = gid[t[:, 0]] == k, p[gid == k]
+        one = passages.whole_mesh(q, 10.0)
+        assert sorted(map(tuple, (t[own] - np.flatnonzero(gid == k)[0]).tolist())) == sorted(map(tuple, one[0].tolist()))
+        some = ways[gid[of] == k]
+        if not np.isnan(some).any():
+            assert sorted(map(tuple, some.tolist())) == sorted(map(tuple, passages.whole_ways(q, q, one[0], 2.0, 9.0)[0].tolist()))

@@ -300,3 +300,30 @@ def test_equal_boxes_are_matched_without_pairs(spark):
     assert got == want and sum(x[3] == 1 for x in want) > 20 and sum(x[3] < 0.5 for x in want) > 0
     same = spark.range(200_000).selectExpr("id as box_id", "0 as tile", "0 as xtl", "0 as ytl", "9 as xbr", "9 as ybr")
     assert greedy.matched_boxes(same.where("box_id % 2 = 0"), same.where("box_id % 2 = 1"), ["tile"], "box_id", 0.1).where("b = a + 1").count() == 100_000
+
+
+def test_long_lines_wait_in_a_file(spark):
+    """Lines come in pieces out of sorted partitions; no group is a frame, and the points kept are those of the plain way."""
+    r = np.random.default_rng(3)
+    rows = [(k, int(s), i, float(t)) for k, n in ((1, 1), (2, 5000), (None, 40), (3, 30_000)) for i, (s, t) in enumerate(zip(np.sort(r.integers(0, 12000, n)), r.integers(0, 1500, n)))]
+    df = spark.createDataFrame(rows, "k int, s long, i int, t double")
+    lines = greedy.simplified_lines(df, "k", ["s", "i"], "s", "t", 400.0)
+    assert "FlatMapGroups" not in lines._jdf.queryExecution().toString()
+    got = sorted(map(tuple, lines.collect()), key=str)
+
+    def plain(p):
+        keep, todo = {0, len(p) - 1}, [(0, len(p) - 1)]
+        while todo:
+            a, b = todo.pop()
+            if b - a > 1:
+                d, rest = p[b] - p[a], p[a + 1 : b] - p[a]
+                size = np.hypot(*d)
+                far = np.abs(d[0] * rest[:, 1] - d[1] * rest[:, 0]) / size if size else np.hypot(*rest.T)
+                if far.max() > 400:
+                    k = a + 1 + int(far.argmax())
+                    keep.add(k)
+                    todo += [(a, k), (k, b)]
+        return p[sorted(keep)]
+
+    want = [(k, i, *map(float, q)) for k in (1, 2, None, 3) for i, q in enumerate(plain(np.array([(s, t) for key, s, _, t in rows if key == k], float)))]
+    assert got == sorted(want, key=str)

@@ -302,6 +302,18 @@ def test_equal_boxes_are_matched_without_pairs(spark):
     assert greedy.matched_boxes(same.where("box_id % 2 = 0"), same.where("box_id % 2 = 1"), ["tile"], "box_id", 0.1).where("b = a + 1").count() == 100_000
 
 
+def test_linked_segments_by_stretches(spark):
+    """Equal to all pairs, over the end of the circle of angles too, and a segment is sent to five tiles only."""
+    r = np.random.default_rng(8)
+    rows = [(i, int(a), int(b), int(t), int(n)) for i, (a, b, t, n) in enumerate(zip(r.integers(0, 3, 400), r.integers(0, 3, 400), r.integers(0, 180, 400), r.integers(-40, 400, 400)))]
+    got = spatial.turned_pairs(spark.createDataFrame(rows, "id long, r int, c int, angle int, size long"), 8, 60)
+    bend = lambda p, q: min(abs(p[3] - q[3]), 180 - abs(p[3] - q[3]))
+    want = sorted((p[0], q[0], bend(p, q)) for p in rows for q in rows if p[0] < q[0] and abs(p[1] - q[1]) <= 1 and abs(p[2] - q[2]) <= 1 and bend(p, q) <= 8 and abs(p[4] - q[4]) <= 60)
+    assert sorted(map(tuple, got.collect())) == want and any(abs(rows[a][3] - rows[b][3]) > 90 for a, b, _ in want)
+    plan = QUERIES["linked_segments"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate explode") == 1
+
+
 def orders(spark, tmp_path, rows):
     spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     return str(tmp_path)
